@@ -30,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Stands for a null id on the way through Python, where a column of longs with nulls would turn into floats.
+NO_ID = (1 << 63) - 1
+
+
+def sealed(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def opened(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID))
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

@@ -35,7 +35,6 @@ FILTER_BITS = 1 << 25
 #: Rows of one group that one task verifies.
 VERIFIED = 256
 _BLANK = str.maketrans("", "", common.SPACES)
-_NONE = np.iinfo(np.int64).max
 
 
 def _keys(digests) -> np.ndarray:
@@ -126,8 +125,7 @@ def _runs(ranges: int, memtable: int):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(memtable)
         for f in frames:
-            ids = f["id"].fillna(_NONE).astype("int64") if f["id"].isna().any() else f["id"]
-            for digest, chars, id_ in zip(f["digest"], f["chars"].tolist(), ids.tolist()):
+            for digest, chars, id_ in zip(f["digest"], f["chars"].tolist(), f["id"].tolist()):
                 index.put(bytes(digest), chars, id_)
         if (run := index.close()) is not None:
             run.insert(0, "range", [d[0] * ranges >> 8 if len(d) < 4 else int.from_bytes(d[:4], "big") * ranges >> 32 for d in run["digest"]])
@@ -172,20 +170,20 @@ def _or(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16, memtable: int = MEMTABLE) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(common.sealed(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sha = F.sha2(F.translate("text", common.SPACES, ""), 256)
     slim = common.cut(rows.select("id", sha.alias("sha"), F.length("text").cast("long").alias("chars")))
     slim = slim.withColumn("digest", F.substring(F.unhex("sha"), 1, digest_bytes))
     ranges = common.partitions(spark) if digest_bytes >= 4 else 1
     entries = slim.select("id", "digest", "chars").mapInPandas(_runs(ranges, memtable), _ENTRY)
     index = common.cut(entries.groupBy("range").applyInPandas(_merge, "digest binary, chars long, id long, n long"))
-    index = index.select("digest", F.nullif(F.col("id"), F.lit(_NONE)).alias("keep_id"), F.col("n").alias("group_size"))
+    index = index.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
 
     out = slim.join(index, "digest", "left").select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
     wrong = _differing(rows, index, digest_bytes)
     if wrong is not None:
         out = _regroup(rows, out, wrong, digest_bytes)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select(common.opened("doc_id").alias("doc_id"), common.opened("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _differing(rows: DataFrame, index: DataFrame, digest_bytes: int) -> DataFrame | None:
@@ -201,7 +199,7 @@ def _differing(rows: DataFrame, index: DataFrame, digest_bytes: int) -> DataFram
     hits = rows.mapInPandas(_hits(spark.sparkContext.broadcast(bits.tobytes()), digest_bytes), "id long, digest binary, bare string")
     salts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
     hits = hits.join(many, "digest").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    keep = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("bare").alias("kept_bare"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    keep = hits.where("id = keep_id").select("digest", F.col("bare").alias("kept_bare"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     keep = keep.groupBy("digest", "salt").agg(F.min("kept_bare").alias("kept_bare"))
     wrong = common.cut(hits.join(keep, ["digest", "salt"]).where("bare <> kept_bare").select("digest").distinct())
     return None if wrong.isEmpty() else wrong
@@ -211,7 +209,7 @@ def _regroup(rows: DataFrame, out: DataFrame, wrong: DataFrame, digest_bytes: in
     """Group the rows of these digests by their bytes instead."""
     again = rows.select("id", F.translate("text", common.SPACES, "").alias("bare"), F.length("text").cast("long").alias("chars"))
     again = again.withColumn("sha", F.sha2("bare", 256)).withColumn("digest", F.substring(F.unhex("sha"), 1, digest_bytes)).join(wrong, "digest", "left_semi")
-    best = again.groupBy("bare").agg(F.min(F.struct(-F.col("chars"), F.col("id").isNull(), "id")).getField("id").alias("own_id"), F.count("*").alias("own_n"), F.first("sha").alias("text_sha256"))
+    best = again.groupBy("bare").agg(F.min(F.struct(-F.col("chars"), "id")).getField("id").alias("own_id"), F.count("*").alias("own_n"), F.first("sha").alias("text_sha256"))
     return out.join(best.drop("bare"), "text_sha256", "left").select("doc_id", F.when(F.col("own_n").isNull(), F.col("keep_id")).otherwise(F.col("own_id")).alias("keep_id"), F.coalesce("own_n", "group_size").alias("group_size"), "text_sha256")
 
 

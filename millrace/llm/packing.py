@@ -154,7 +154,7 @@ class _Packer:
 
     def take(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, scale: int = SCALE) -> DataFrame:
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
         for frame in frames:
             for id_, text in zip(frame["id"], frame["text"]):
                 ids = words.ids(text or "") + end
-                waiting.append((None if pd.isna(id_) else int(id_), ids))
+                waiting.append((id_, ids))
                 size += len(ids)
                 if len(waiting) >= block or size > 1 << 26:
                     carried = packer.block(waiting, carried, False)
@@ -178,4 +178,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
         packer.block(waiting, carried, True)
         yield packer.take()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(task, OUT)
+    rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(task, OUT)
+    return rows.withColumn("doc_id", common.opened("doc_id"))

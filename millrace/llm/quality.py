@@ -125,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         x = np.array([statistics(t) for t in f["text"]], np.float32).reshape(-1, len(FEATURES))
-        yield pd.DataFrame({"id": f["id"].astype("Int64"), "x": [r.tobytes() for r in x]})
+        yield pd.DataFrame({"id": f["id"], "x": [r.tobytes() for r in x]})
 
 
 def fold(id_: Column, folds: int = FOLDS) -> Column:
@@ -134,7 +134,7 @@ def fold(id_: Column, folds: int = FOLDS) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = LEAST, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels of held-out ids (fold 0) are never used."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).alias("text"))
     x = common.cut(rows.mapInPandas(_statistics, "id long, x binary"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0)
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
@@ -145,9 +145,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             s = sent.value.score(np.frombuffer(b"".join(f["x"]), np.float32).reshape(-1, len(FEATURES)).astype(float))
-            yield pd.DataFrame({"id": f["id"].astype("Int64"), "score": s})
+            yield pd.DataFrame({"id": f["id"], "score": s})
 
-    out = x.mapInPandas(apply, "id long, score double")
+    out = x.mapInPandas(apply, "id long, score double").withColumn("id", common.opened("id"))
     return out.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
