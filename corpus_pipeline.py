@@ -1,10 +1,14 @@
-"""A corpus from raw documents to packed sequences."""
+"""A corpus from raw documents to packed sequences.
+
+Documents that the quality classifier rejects go, then exact copies, then all but one of each group of near copies (five-word shingles,
+Jaccard similarity of at least 0.8); what stays is mixed to the sources' target weights, which repeats documents and may cut one document of each source, and packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, mixing, packing, quality
+from millrace.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from millrace.llm.queries import tokenizer_path
 
 
@@ -16,6 +20,10 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, words=5, num=80, den=100)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -24,7 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", good), ("exact dedup", unique), ("mixing", mixed), ("packing", packed)]
+STAGES = [("quality classifier", good), ("exact dedup", unique), ("n-gram Jaccard join", apart), ("mixing", mixed), ("packing", packed)]
 
 ORACLE_SQL = None
 
