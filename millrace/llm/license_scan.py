@@ -78,11 +78,11 @@ class Matcher:
         found, score = None, 0.0
         lines = [words(x) for x in text.split("\n")]
         for bag in (*lines, [w for x in lines for w in x]):
-            known = sum(w in self.vocabulary for w in bag)
-            # All weights of other words are largest, so a bag with few known words can't reach the bound.
-            if known and known >= least * least * len(set(bag)) * 0.5 and (c := self.cosines(Counter(bag))).max() > score + 1e-12:
+            known = sum(map(self.vocabulary.__contains__, bag))
+            # No word weighs more than one outside the vocabulary: known words add at most known**2 to the squared norm, others at least 1 each if distinct.
+            if known and known**2 * (1 - least**2) >= least**2 * (len(set(bag)) - known) and (c := self.cosines(Counter(bag))).max() > score + 1e-12:
                 found, score = self.names[int(c.argmax())], float(c.max())
-        return (found, score) if score >= least else (None, score)
+        return (found, score) if score >= least else (None, 0.0)
 
 
 def _frequencies(vocabulary: frozenset[str]):
@@ -99,7 +99,7 @@ def _frequencies(vocabulary: frozenset[str]):
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """doc_id, path, own_license, score, license, license_from for every row; license_from is the directory that gave it, null for an own licence."""
+    """doc_id, path, own_license, score, license, license_from for every row; score is the cosine of an own licence, else 0; license_from is the directory that gave it, null for an own licence."""
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     vocabulary = frozenset(w for texts in templates.values() for t in texts for w in words(t))
