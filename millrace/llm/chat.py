@@ -178,3 +178,19 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """A row for each conversation, from the formatted rows alone: counts and digests of the turns and of what is under the mask."""
     return formatted.withColumn("conv_id", common.sealed("conv_id")).mapInPandas(_digests, _DIGESTS).withColumn("conv_id", common.opened("conv_id"))
+
+
+_ESCAPED = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>')"
+ORACLE = rf"""
+with c as (
+  select conv_id, turn, role, text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k from c
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(17 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) as bigint) as formatted_chars
+from t group by conv_id
+"""

@@ -340,3 +340,23 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     found = similar_documents(docs, words, num, den, id_col, text_col)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as shingle from w
+), n as (
+  select doc_id, count(*) as n from s group by 1
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as met from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * met >= 85 * (x.n + y.n - met)
+), r as (
+  select doc_id, doc_id as other from documents union select r.doc_id, e.b from r join e on r.other = e.a
+), c as (
+  select doc_id, min(other) as component_id from r group by 1
+)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, (select count(*) from e where e.a = c.doc_id) as n_links from c left join n using (doc_id)
+"""

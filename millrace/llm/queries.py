@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard_join, op2_license_scan, op3_url_filter, op4_sharding, op5_packing, op6_nearest_neighbours, op7_quality_classifier, op8_mixing, op9_exact_dedup, op10_chat_format)
 }
 
-ORACLES = {"op8_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_jaccard_join": jaccard_join.ORACLE, "op10_chat_format": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
