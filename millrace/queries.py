@@ -160,11 +160,16 @@ def _tag(row: dict) -> list[dict]:
 # Joins
 
 
+def _no_nulls(df: DataFrame, *names: str) -> DataFrame:
+    """-1 for null in these columns, so that their type doesn't depend on what reads them."""
+    return df.withColumns({n: F.coalesce(n, F.lit(-1)) for n in names})
+
+
 def _join(how: str, null_safe: bool = False):
     def run(spark, sf_dir):
         build_side = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name")
         probe = table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select("o_custkey", "o_orderkey", "o_totalprice")
-        return relational.hash_join(build_side, probe, [0], [0], how, null_safe)
+        return _no_nulls(relational.hash_join(build_side, probe, [0], [0], how, null_safe), "c_custkey", "o_custkey", "o_orderkey")
 
     return run
 
@@ -172,16 +177,16 @@ def _join(how: str, null_safe: bool = False):
 for _how in relational.JOINS:
     _f = _join(_how)
     _f.__name__ = f"jn_{_how}"
-    query(f"select c_custkey, c_name, o_custkey, o_orderkey, o_totalprice from (select * from customer where c_custkey % 3 <> 0) {_how} join (select * from orders where o_custkey % 5 <> 0) on c_custkey = o_custkey")(_f)
+    query(f"select coalesce(c_custkey, -1) as c_custkey, c_name, coalesce(o_custkey, -1) as o_custkey, coalesce(o_orderkey, -1) as o_orderkey, o_totalprice from (select * from customer where c_custkey % 3 <> 0) {_how} join (select * from orders where o_custkey % 5 <> 0) on c_custkey = o_custkey")(_f)
 
 
-@query("select a.k, a.t, b.u from (select distinct nullif(user_id % 7, 0) as k, event_type as t from events) a join (select nullif(user_id % 7, 0) as k2, count(*) as u from events group by 1) b on a.k is not distinct from b.k2")
+@query("select coalesce(a.k, -1) as k, a.t, b.u from (select distinct nullif(user_id % 7, 0) as k, event_type as t from events) a join (select nullif(user_id % 7, 0) as k2, count(*) as u from events group by 1) b on a.k is not distinct from b.k2")
 def jn_null_safe(spark, sf_dir):
     k = F.nullif(F.col("user_id") % 7, F.lit(0))
     e = table(spark, sf_dir, "events")
     left = e.select(k.alias("k"), F.col("event_type").alias("t")).distinct()
     right = e.groupBy(k.alias("k2")).agg(F.count("*").alias("u"))
-    return relational.hash_join(left, right, [0], [0], "inner", null_safe=True).select("k", "t", "u")
+    return _no_nulls(relational.hash_join(left, right, [0], [0], "inner", null_safe=True).select("k", "t", "u"), "k")
 
 
 @query("select l_returnflag, o_orderstatus, count(*) as n, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as cents from lineitem join orders on l_orderkey = o_orderkey group by all")
