@@ -114,13 +114,20 @@ def window_aggregate(df: DataFrame, assigner: Tumbling | Sliding, time: int, key
     return out.select(*parts, *[a.name for a in aggregates], "window_start", "window_end")
 
 
-def on_time(df: DataFrame, time: str, arrival: Sequence[str], delay: int, bucket: int = 1 << 22) -> DataFrame:
+#: Rows of a range of arrival, about.
+RANGE_ROWS = 1 << 20
+
+
+def on_time(df: DataFrame, time: str, arrival: Sequence[str], delay: int, bucket: int | None = None) -> DataFrame:
     """Rows that a watermark ``delay`` behind the largest time so far would keep, element by element in arrival order.
 
     A row is late if its time is at or below the largest earlier time less the delay. Late rows never raise the maximum, so it is a running
-    maximum over all earlier rows, taken in two steps: over ranges of the first arrival column (a long, ``bucket`` wide), of which there are few, and within each range. No
-    task gets more than a range.
+    maximum over all earlier rows, taken in two steps: over ranges of the first arrival column (a long), of which there are few, and within each range. No
+    task gets more than a range, which is ``bucket`` wide, or so wide that it has about RANGE_ROWS rows.
     """
+    if bucket is None:
+        low, high, n = df.agg(F.min(arrival[0]), F.max(arrival[0]), F.count("*")).first()
+        bucket = max(1, (high - low + 1) * RANGE_ROWS // n) if n and low is not None else 1
     rows = df.withColumn("_range", F.floor(F.col(arrival[0]) / F.lit(bucket)))
     tops = rows.groupBy("_range").agg(F.max(time).alias("_top"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -80,9 +80,10 @@ class Stream:
         check_job(n)
         return self._with(self.df.repartition(n))
 
-    def broadcast(self) -> Stream:
-        """A copy for every task of a join: for tables whose size is known to be small."""
-        return self._with(F.broadcast(self.df))
+    def broadcast(self, most_rows: int = 100_000) -> Stream:
+        """A copy for every task of a join, if a count finds no more rows than that; else the joins' own plan holds."""
+        small = self.df.limit(most_rows + 1).count() <= most_rows
+        return self._with(F.broadcast(self.df) if small else self.df)
 
     def key_by(self, *keys: str) -> Keyed:
         return Keyed(self, keys)

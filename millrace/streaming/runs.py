@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ def write_parts(df: DataFrame, order: list[str], positions: list[int], folder: s
     edges = [0, *positions, n]
     made = 0
     for a, b in zip(edges, edges[1:]):
-        if b > a or a == b == edges[-2] != n:
+        if b > a:
             rows.where(f"_row >= {a} and _row < {b}").orderBy("_row").drop("_row").coalesce(1).write.mode("append").parquet(f"{folder}/{made:06d}")
             made += 1
     return made
@@ -38,5 +39,5 @@ def run_to_end(df: DataFrame, checkpoint: str, mode: str = "append", each: Calla
     out = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = out.foreachBatch(each).start() if each else out.format("memory").queryName(name).start()
     query.awaitTermination()
-    progress = [p if isinstance(p, dict) else __import__("json").loads(p.json) for p in query.recentProgress]
+    progress = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
     return (None if each else df.sparkSession.table(name)), [p["batchId"] for p in progress if p["numInputRows"]], progress

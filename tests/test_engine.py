@@ -145,7 +145,7 @@ def test_on_time_matches_one_by_one(spark):
             want.append(r[3])
             top = r[1] if top is None else max(top, r[1])
     df = spark.createDataFrame(data, EVENT + ", arrival long")
-    for bucket in (1, 7, 1 << 20):
+    for bucket in (1, 7, 1 << 20, None):
         assert rows(windows.on_time(df, "ts", ["arrival"], 2500, bucket), "arrival") == [(k,) for k in want]
 
 
@@ -169,6 +169,7 @@ def test_dsl(spark):
     with pytest.raises(ValueError):
         env.from_sequence(1, 2).key_by("id").window(windows.Tumbling(5)).reduce("id", "sum")
     env.from_sequence(1, 5).rebalance(3).discard()
+    assert env.from_sequence(1, 5).broadcast().collect() == env.from_sequence(1, 5).broadcast(2).collect()
 
 
 def test_job_checks():
