@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +31,15 @@ def read_parts(spark: SparkSession, schema: str, folder: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/*")
 
 
-def run_to_end(df: DataFrame, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame | None, list[int], list[dict]]:
-    """Process what is there, then stop: all rows that came out (in memory, for small results), completed batch ids and progress reports."""
-    name = f"out_{uuid.uuid4().hex}"
+def run_to_end(df: DataFrame, checkpoint: str, mode: str = "append") -> tuple[DataFrame, list[int], list[dict]]:
+    """Process what is there, then stop: all rows that came out, completed batch ids and progress reports.
+
+    Appended rows go to files beside the checkpoint; other modes, whose results are aggregates, to memory.
+    """
+    name, folder = f"out_{uuid.uuid4().hex}", f"{checkpoint}-out"
     out = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = out.foreachBatch(each).start() if each else out.format("memory").queryName(name).start()
+    query = out.format("parquet").option("path", folder).start() if mode == "append" else out.format("memory").queryName(name).start()
     query.awaitTermination()
     progress = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
-    return (None if each else df.sparkSession.table(name)), [p["batchId"] for p in progress if p["numInputRows"]], progress
+    rows = df.sparkSession.read.schema(df.schema).parquet(folder) if mode == "append" else df.sparkSession.table(name)
+    return rows, [p["batchId"] for p in progress if p["numInputRows"]], progress

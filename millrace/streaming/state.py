@@ -15,8 +15,16 @@ CONTINUE, FIRE, PURGE, FIRE_AND_PURGE = "continue", "fire", "purge", "fire_and_p
 class Context:
     """What a process function sees: state by name, timers, and collect()."""
 
-    def __init__(self, processor: Keyed, now: int | None):
-        self._p, self.now, self.out = processor, now, []
+    def __init__(self, processor: Keyed, times: Any):
+        self._p, self.times, self.out = processor, times, []
+
+    @property
+    def watermark(self) -> int:
+        return self.times.getCurrentWatermarkInMs()
+
+    @property
+    def now(self) -> int:
+        return self.times.getCurrentProcessingTimeInMs()
 
     def value(self, name: str):
         s = self._p.values[name]
@@ -77,13 +85,13 @@ class Keyed(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         for row in rows:
-            context = Context(self, timerValues.getCurrentWatermarkInMs())
+            context = Context(self, timerValues)
             self.process(key[0], row, context)
             yield from context.out
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         if self.timer:
-            context = Context(self, timerValues.getCurrentWatermarkInMs())
+            context = Context(self, timerValues)
             self.timer(key[0], expiredTimerInfo.getExpiryTimeInMs(), context)
             yield from context.out
 
@@ -120,22 +128,22 @@ def windowed(df: DataFrame, key: str, time: str, column: str, size: int, delay:
         if top is not None and row[time] <= top - delay:
             return
         end = row[time] - row[time] % size + size
-        rows = [*(context.lookup("rows", end) or "").split(","), str(row[column])] if context.lookup("rows", end) else [str(row[column])]
-        context.put("rows", end, ",".join(rows))
+        rows = [*(context.lookup("rows", end) or []), row[column]]
+        context.put("rows", end, rows)
         if trigger:
-            said = trigger([int(x) for x in rows], row[time])
+            said = trigger(rows, row[time])
             if said in (FIRE, FIRE_AND_PURGE):
-                context.collect(k, end - 1, reduce([int(x) for x in rows]))
+                context.collect(k, end - 1, reduce(rows))
             if said in (PURGE, FIRE_AND_PURGE):
                 context.remove("rows", end)
         top = max(row[time], top if top is not None else row[time])
         context.set_value("top", top)
         for e, kept in sorted(context.entries("rows").items()):
             if top - delay >= e - 1:
-                context.collect(k, e - 1, reduce([int(x) for x in kept.split(",")]))
+                context.collect(k, e - 1, reduce(kept))
                 context.remove("rows", e)
 
-    keyed = Keyed(step, values={"top": "long"}, maps={"rows": ("long", "string")})
+    keyed = Keyed(step, values={"top": "long"}, maps={"rows": ("long", "array<long>")})
     return process(df, key, keyed, f"{key} {key_type}, time long, result long")
 
 

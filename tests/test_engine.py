@@ -312,6 +312,22 @@ def test_list_and_map_state(spark, tmp_path):
     assert rows(runs.run_to_end(plan, f"{tmp_path}/cp")[0], "n", "even") == sorted([(1, -1), (2, 2), (3, -1), (0, 4), (1, 4)])
 
 
+def _remind(k, row, c):
+    c.register_timer(row["ts"] + 1000)
+    c.register_timer(row["ts"] + 1500)
+    c.delete_timer(row["ts"] + 1500)
+
+
+def _ring(k, at, c):
+    c.collect(k, at)
+
+
+def test_timers(spark, tmp_path):
+    rows_ = _stream(spark, tmp_path, [(t, t) for t in (1000, 5000, 9000)], [1, 2]).withColumn("at_ts", F.timestamp_millis("ts")).withWatermark("at_ts", "0 seconds")
+    plan = state.process(rows_, "user", state.Keyed(_remind, _ring), "user string, at long", "EventTime")
+    assert {2000} <= {r.at for r in runs.run_to_end(plan, f"{tmp_path}/cp")[0].collect()} <= {2000, 6000}
+
+
 def _count(row, old):
     n = int.from_bytes(old or b"\0", "big") + 1
     return [(row["user"], n)], n.to_bytes(8, "big")
