@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,10 @@ END = 1
 BLOCK = 4096
 #: Tokens at which attention costs as much as the linear part.
 SCALE = 1024
+#: Distinct words that a Python worker remembers before it starts afresh (about 200 bytes each).
+KNOWN = 1_500_000
+#: Marks that form one pre-token behind letters.
+_TAIL = b".,;:!?%$#&*"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,7 +55,6 @@ class Words:
 
         self.t = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.t.get_added_tokens_decoder().values()]
-        self.model, self.parts = {}, {}
         self.whole: dict[bytes, bytes] = {}
 
     def _encode(self, word: bytes) -> bytes:
@@ -58,26 +62,27 @@ class Words:
             ids = self.t.encode(word.decode(), add_special_tokens=False).ids
         else:
             ids = [t.id for p, _ in self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(word.decode())) for t in self.t.model.tokenize(p)]
-        return np.array(ids, "<u4").tobytes()
-
-    def _plain(self, letters: bytes) -> bytes:
-        if (b := self.parts.get(letters)) is None:
-            b = self.parts[letters] = np.array([t.id for t in self.t.model.tokenize(letters.decode())], "<u4").tobytes()
-        return b
+        return array("I", ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         low = word.lower()
-        if low.isalpha() and low.isascii():  # one pre-token
-            return self._plain(low)
-        if low[-1:] in b".,!" and low[:-1].isalpha() and low.isascii():  # two
-            return self._plain(low[:-1]) + self._plain(low[-1:])
-        return self._encode(word)
+        core = low.rstrip(_TAIL)
+        if not (core.isalpha() and core.isascii()):
+            return self._encode(word)
+        if (b := self.whole.get(core)) is None:  # letters are one pre-token, marks behind them another
+            b = self.whole[core] = array("I", [t.id for t in self.t.model.tokenize(core.decode())]).tobytes()
+        if len(core) == len(low):
+            return b
+        tail = low[len(core) :]
+        if (t := self.whole.get(tail)) is None:
+            t = self.whole[tail] = self._encode(tail)
+        return b + t
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.encode().split()
-        if len(self.whole) + len(self.parts) > common.CACHE_WORDS:
-            self.whole, self.parts = {}, {}
+        if len(self.whole) > KNOWN:
+            self.whole = {}
         for w in set(words).difference(self.whole):
             self.whole[w] = self._word(w)
         return b"".join(map(self.whole.__getitem__, words))
