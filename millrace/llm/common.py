@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,13 +13,13 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's own folder, or a temporary one where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="millrace-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of texts that a Python worker gets at once.
+BATCH_ROWS = 1000
 #: Stands for a null id on the way through Python, where a column of longs with nulls would turn into floats.
 NO_ID = (1 << 63) - 1
 
@@ -42,6 +42,12 @@ def opened(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(NO_ID))
 
 
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, text), which reach Python in small batches: texts may be very long."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.select(sealed(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -81,13 +87,3 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(h * _ODD[1])
 
 
-def batches(frames: Iterator, chars: int = 1 << 25, column: str = "text") -> Iterator:
-    """The same rows, in frames of at most about so many characters of text (one row at least)."""
-    for frame in frames:
-        size = frame[column].str.len().fillna(0).to_numpy()
-        if size.sum() <= chars:
-            yield frame
-            continue
-        part = (np.cumsum(size) // chars).astype(np.int64)
-        for _, rows in frame.groupby(part, sort=True):
-            yield rows

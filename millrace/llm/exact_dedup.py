@@ -170,7 +170,7 @@ def _or(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16, memtable: int = MEMTABLE) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     spark = docs.sparkSession
-    rows = docs.select(common.sealed(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = common.texts(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     sha = F.sha2(F.translate("text", common.SPACES, ""), 256)
     slim = common.cut(rows.select("id", sha.alias("sha"), F.length("text").cast("long").alias("chars")))
     slim = slim.withColumn("digest", F.substring(F.unhex("sha"), 1, digest_bytes))

@@ -14,7 +14,7 @@ if it holds the shingle and 1 if not.
 3. *Recursion.* Documents connected by such pairs form groups. Each group's whole sets meet in one task. A group is split by pivot
    documents: every document goes to the cell of its nearest pivot and, by the triangle inequality, to each cell whose pivot is no more
    than twice the distance farther; cells are split again while that makes them smaller, else compared by matrix products. Groups
-   with more than GROUP documents are dealt into cells that are joined in pairs, each pair in a task of its own.
+   with more than GROUP documents, or MEMBERS members of their sets, are dealt into cells that are joined in pairs, each pair in a task of its own.
 
 Equal sets are one document until the end, so exact copies cost nothing. Nothing is dropped or capped, and results don't depend
 on the sketch. Hashes have 64 bits: two different shingles of a document collide with odds of size**2 / 2**65.
@@ -44,8 +44,8 @@ SKETCH, SLICE = 1 << 21, 1 << 16
 RANGE_ROWS = 1 << 20
 #: Documents of a region that are paired directly; window rows of a shingle from which on it is dealt by row.
 SMALL, HOT = 48, 1 << 18
-#: Documents of a group that one task joins.
-GROUP = 4096
+#: Documents of a group that one task joins, and members of all their sets.
+GROUP, MEMBERS = 4096, 1 << 40
 #: Documents of a cell that are compared without further pivots, and pivots of a split.
 CELL, PIVOTS = 256, 16
 FILTER_BITS = 1 << 25
@@ -189,7 +189,7 @@ def _linked(sets: list[np.ndarray], num: int, den: int, other: int | None = None
     def common_(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many members each of the sets i shares with each of the sets j."""
         total = np.zeros((len(i), len(j)), np.float32)
-        step = max(512, (1 << 24) // max(len(i), len(j)))
+        step = max(512, (1 << 22) // max(len(i), len(j)))
         for low in range(0, wide, step):
             blocks = []
             for idx in (i, j):
@@ -288,7 +288,7 @@ def _union(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row; documents link when den * intersection >= num * union."""
     spark = docs.sparkSession
-    rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = common.texts(docs, id_col, text_col)
     profile = common.cut(rows.mapInPandas(_profiles(words), "id long, n long, key long, slice int, counts binary"))
     each = profile.where("slice < 0").select("id", "n", "key")
     classes = each.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
@@ -313,7 +313,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
         bits |= np.frombuffer(r["bits"], np.uint8)
     named = common.cut(groups.join(classes, groups["node"] == classes["key"]).select("key", "root", "n", "times"))
     # Groups of more than GROUP documents are dealt into cells; every pair of cells is a task, the same cell twice included.
-    large = named.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("cells"))
+    large = named.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / MEMBERS)).cast("int").alias("cells"))
     named = named.join(large, "root").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
     members = rows.mapInPandas(_members(words, spark.sparkContext.broadcast(bits.tobytes())), "key long, members binary")
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))

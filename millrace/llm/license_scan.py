@@ -101,6 +101,7 @@ def _frequencies(vocabulary: frozenset[str]):
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """doc_id, path, own_license, score, license, license_from for every row; score is the cosine of an own licence, else 0; license_from is the directory that gave it, null for an own licence."""
     spark = files.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     vocabulary = frozenset(w for texts in templates.values() for t in texts for w in words(t))
     counts = rows.select("text").mapInPandas(_frequencies(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from millrace.llm import common
 
@@ -183,5 +182,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
         packer.block(waiting, carried, True)
         yield packer.take()
 
-    rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(task, OUT)
+    rows = common.texts(docs, id_col, text_col).mapInPandas(task, OUT)
     return rows.withColumn("doc_id", common.opened("doc_id"))

@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of every whole text are computed once by the executors. The driver fits on at most FIT_ROWS labelled rows (those with the
-smallest hash of the id; the bound is the parameter ``fit_rows``): features are cut into bins at quantiles, and each tree grows
+Statistics of every whole text are computed once by the executors. The driver fits on at most FIT_ROWS labelled rows (of those whose hash of the id is
+below a threshold for about as many; the bound is the parameter ``fit_rows``): features are cut into bins at quantiles, and each tree grows
 level by level from sums of gradients by bin. Trees are complete, so they flatten into arrays (feature, bin, value) of fixed
 shape, and scoring walks all rows through a level at once in numpy.
 
@@ -134,7 +134,7 @@ def fold(id_: Column, folds: int = FOLDS) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = LEAST, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels of held-out ids (fold 0) are never used."""
-    rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = common.texts(docs, id_col, text_col)
     x = common.cut(rows.mapInPandas(_statistics, "id long, x binary"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0)
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
