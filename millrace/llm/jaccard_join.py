@@ -45,7 +45,7 @@ RANGE_ROWS = 1 << 20
 #: Documents of a region that are paired directly; window rows of a shingle from which on it is dealt by row.
 SMALL, HOT = 48, 1 << 18
 #: Documents of a group that one task joins, and members of all their sets.
-GROUP, MEMBERS = 4096, 1 << 40
+GROUP, MEMBERS = 1024, 1 << 22
 #: Documents of a cell that are compared without further pivots, and pivots of a split.
 CELL, PIVOTS = 256, 16
 FILTER_BITS = 1 << 25
