@@ -198,7 +198,7 @@ def _differing(rows: DataFrame, index: DataFrame, digest_bytes: int) -> DataFram
         return None
     hits = rows.mapInPandas(_hits(spark.sparkContext.broadcast(bits.tobytes()), digest_bytes), "id long, digest binary, bare string")
     salts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
-    hits = hits.join(many, "digest").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    hits = common.cut(hits.join(many, "digest")).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     keep = hits.where("id = keep_id").select("digest", F.col("bare").alias("kept_bare"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     keep = keep.groupBy("digest", "salt").agg(F.min("kept_bare").alias("kept_bare"))
     wrong = common.cut(hits.join(keep, ["digest", "salt"]).where("bare <> kept_bare").select("digest").distinct())
