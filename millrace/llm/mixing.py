@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows of one bucket that are sorted together, about.
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 11
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
