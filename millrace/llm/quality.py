@@ -138,7 +138,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = common.cut(rows.mapInPandas(_statistics, "id long, x binary"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0)
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
-    sample = known.join(x.dropDuplicates(["id"]), "id").orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
+    usable = common.cut(known.join(x.dropDuplicates(["id"]), "id").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
+    few = usable.where(F.col("h") <= F.lit((1 << 31) * (fit_rows / max(1, usable.count()))))  # fit_rows of them, but for chance
+    sample = sorted(few.collect(), key=lambda r: (r["h"], r["id"]))[:fit_rows]
     model = fit(np.frombuffer(b"".join(r["x"] for r in sample), np.float32).reshape(-1, len(FEATURES)).astype(float), np.array([r["y"] for r in sample], float))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
