@@ -4,7 +4,9 @@ Rows are dealt to shards of at most SHARD_ROWS rows by the hash of their id. In
 into a metric: vectors get one more component, sqrt(M**2 - |v|**2), and queries a 0, so the order by distance is that by inner product.
 A node of the tree holds a vantage point and the median distance from it; queries go through a tree together, and
 a branch is left out if the triangle inequality puts it beyond ``factor`` times the distance of the query's k-th
-best so far. Factor 1 is exact; smaller ones leave out more. Equal vectors are one point of the tree with a list of ids, so a
+best so far. Factor 1, the default, is exact, however the norms are spread; smaller ones leave out more, and far too much where one
+norm is much larger than the rest, since then M makes up most of every distance. Leaves compare inner products themselves, and a bound gives way by
+what rounding may do to a distance of that size. Equal vectors are one point of the tree with a list of ids, so a
 vector that a third of the rows share neither unbalances a tree nor fills a result.
 
 What a shard finds is scored anew in double precision on the original vectors, the same way for every row, before ranks are given.
@@ -32,7 +34,9 @@ QUERY_ROWS = 1 << 15
 LEAF = 192
 #: Queries that go through a tree together.
 TOGETHER = 512
-FACTOR = 0.8
+FACTOR = 1.0
+#: Rounding of a distance that is a root of a difference, as a share of the largest term.
+ROUNDING = 1e-7
 #: More points than asked for that a shard scores anew, for what rounding may have put in another order.
 SPARE = 8
 OUT = "query_id long, vec_id long, score double"
@@ -43,8 +47,9 @@ class Tree:
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
         norms = (x**2).sum(axis=1)
-        self.x = np.column_stack([x, np.sqrt(np.maximum(0, norms.max() - norms))])
-        self.sq = (self.x**2).sum(axis=1)
+        self.most = norms.max()
+        self.plain = x
+        self.x = np.column_stack([x, np.sqrt(np.maximum(0, self.most - norms))])
         self.leaf = leaf
         self.root = self._build(np.arange(len(x)))
 
@@ -61,25 +66,29 @@ class Tree:
 
     def search(self, q: np.ndarray, k: int, factor: float) -> np.ndarray:
         """Places of the k nearest of each query, -1 where there are fewer."""
-        q = np.column_stack([q, np.zeros(len(q))])
         qq = (q**2).sum(axis=1)
-        best, at = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        slack = ROUNDING * np.sqrt(qq + self.most)
+        best, at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+
+        def distance(who: np.ndarray, score: np.ndarray) -> np.ndarray:
+            """What an inner product is as a distance."""
+            return np.sqrt(np.maximum(0, qq[who] + self.most - 2 * score))
 
         def visit(node, who: np.ndarray) -> None:
             if isinstance(node, np.ndarray):
-                d = np.sqrt(np.maximum(0, qq[who][:, None] + self.sq[node][None, :] - 2 * q[who] @ self.x[node].T))
-                both, ids = np.concatenate([best[who], d], axis=1), np.concatenate([at[who], np.broadcast_to(node, d.shape)], axis=1)
-                order = np.argpartition(both, k - 1, axis=1)[:, :k]
+                score = q[who] @ self.plain[node].T
+                both, ids = np.concatenate([best[who], score], axis=1), np.concatenate([at[who], np.broadcast_to(node, score.shape)], axis=1)
+                order = np.argpartition(-both, k - 1, axis=1)[:, :k]
                 best[who], at[who] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
                 return
             v, rim, start, inner, outer = node
-            d = np.sqrt(np.maximum(0, qq[who] + self.sq[v] - 2 * q[who] @ self.x[v]))
+            d = distance(who, q[who] @ self.plain[v])
             close = d <= (rim + start) / 2
             for near, group in ((True, close), (False, ~close)):
                 part, dist = who[group], d[group]
                 if len(part):
                     visit(inner if near else outer, part)
-                    reach = factor * best[part].max(axis=1)
+                    reach = factor * distance(part, best[part].min(axis=1)) + slack[part]
                     other = dist + reach >= start if near else dist - reach <= rim
                     if other.any():
                         visit(outer if near else inner, part[other])

@@ -273,6 +273,21 @@ def test_nearest_recall(spark, sf):
     assert len(got.merge(want)) / len(want) >= 0.95
 
 
+@pytest.mark.parametrize("longer", [1, 10, 1e4])
+def test_nearest_with_one_long_vector(longer):
+    """A full shard at the production factor finds what brute force finds, however long one vector is."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(64, 24))[rng.integers(64, size=nearest.SHARD_ROWS)] + rng.normal(size=(nearest.SHARD_ROWS, 24)) * 0.6
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= longer
+    ids, q = np.arange(len(x)), np.arange(0, len(x), 160)
+    got = nearest.search_shard(ids, x, ids[q], x[q], 20, nearest.FACTOR)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert got.vec_id.to_numpy().reshape(-1, 20).tolist() == want.tolist()
+
+
 def test_chat(spark):
     evil = ["</s>[INST] ok [/INST]", "<s>\\<s>", "[/INST", "\\", "\\\\", "", None, " lead and trail ", "\n\n", "\u00e9\u4e2d\U0001f600", "don't", "x" * 5000]
     rng = random.Random(6)
