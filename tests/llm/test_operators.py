@@ -364,6 +364,60 @@ def test_license_scan(spark):
     assert got == sorted([(0, "MIT", "MIT", None), (1, None, "MIT", "a"), (2, None, "GPL-3.0", "a/b"), (3, "GPL-3.0", "GPL-3.0", None), (4, "MIT", "MIT", None), (5, None, "GPL-3.0", ""), (6, None, None, None), (7, "GPL-3.0", "GPL-3.0", None), (8, None, "GPL-3.0", ""), (9, "GPL-3.0", "GPL-3.0", None), (1, None, "MIT", "a"), (10, None, "GPL-3.0", "")], key=str)
 
 
+WRAPPED = {
+    "BSD-3-Clause": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n",
+    "MIT": """/* Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files (the
+ * "Software"), to deal in the Software without restriction, including
+ * without limitation the rights to use, copy, modify, merge, publish. */\n""",
+    "GPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.\n""",
+    "Apache-2.0": """-- Licensed under the Apache License, Version 2.0 (the "License");
+-- you may not use this file except in compliance with the License.\n""",
+}
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_license_headers_wrapped_over_lines(spark, sf):
+    """Headers above code, notices inside a long line, and whole licence files; not those of other licences."""
+    code = "".join(f"x{i} = call{i}(y{i}, {i})\n" for i in range(60))
+    rows = [(name, f"a/{name}.c", text + code, name) for name, text in WRAPPED.items()]
+    rows += [(name, f"b/{name}.txt", code.replace("\n", " ") + text.replace("\n", " ") + code.replace("\n", " "), name) for name, text in WRAPPED.items()]
+    rows += [("f", "c/LICENSE", MIT_FILE, "MIT"), ("g", "c/d/x.txt", "prose", "MIT")]
+    rows += [("h", "e/LICENSE", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + code, "GPL-3.0"), ("i", "f/LICENSE", "Mozilla Public License\nVersion 2.0\n\n" + code, "MPL-2.0")]
+    rows += [("j", "g/LICENSE", "Attribution 4.0 International\n\nCreative Commons Attribution 4.0 International Public\nLicense\n" + code, "CC-BY-4.0")]
+    gpl = WRAPPED["GPL-3.0"]
+    rows += [("k", "h/x", gpl.replace("version 3", "version 2") + code, None), ("l", "h/y", gpl.replace("GNU General", "GNU Lesser General") + code, None), ("m", "h/z", code, None), ("n", "h/v", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + code, None)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    common_words = spark.read.parquet(sf + "/documents.parquet").select("doc_id", F.lit("none/x").alias("path"), "text")
+    files = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string").union(common_words.withColumn("doc_id", -1 - F.col("doc_id")))
+    got = {r.doc_id: r.license for r in license_scan.scan(files).where("doc_id >= 0").collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_license_cosines_match_brute_force(spark, sf):
     docs = spark.read.parquet(sf + "/documents.parquet").withColumn("path", F.concat(F.lit("d/"), F.col("doc_id")))
     texts = {r.doc_id: r.text for r in docs.collect()}
