@@ -48,6 +48,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(sealed(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
+def text_key(text_col: str) -> Column:
+    """SHA-256 of a text, null as an empty one. With the id it names rows that are equal for a decision: ids may be null or repeat."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

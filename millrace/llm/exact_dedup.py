@@ -12,7 +12,7 @@ Texts count as equal when they agree after all of space, tab, newline, vertical
 
 Defined cases: a null text is empty and equals all texts of white space only. A null id comes after all others. Rows that
 repeat an id with an equal text are members like others; each repetition of the id that stays is marked as kept, unless
-:func:`drop_duplicates` is used, which leaves one. An empty table gives an empty result. Other columns are ignored, or
+:func:`drop_duplicates` is used, which leaves one row of each text, whatever ids repeat or are null. An empty table gives an empty result. Other columns are ignored, or
 passed through by :func:`drop_duplicates`.
 """
 
@@ -214,9 +214,16 @@ def _regroup(rows: DataFrame, out: DataFrame, wrong: DataFrame, digest_bytes: in
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat an id one stays. Rows with a null id go if a row with an id has the same text."""
-    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(groups, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """One row of each group of equal texts, with all its columns: of the rows of the id that stays, the one whose text is longest, then largest.
+
+    Null ids and ids that repeat with different texts are no groups: each text stays once. Rows with a null id go if a row with an id has the same text.
+    """
+    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_text")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("_bare", F.unhex(F.sha2(F.translate(text, common.SPACES, ""), 256)))
+    rows = rows.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_bare") == F.col("_kept_text")), "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    return rows.groupBy("_bare").agg(F.max_by(whole, F.struct(F.length(text), text)).alias("_row")).select("_row.*")
 
 
 ORACLE = r"""

@@ -60,7 +60,7 @@ def _window(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def _profiles(words: int):
+def _profiles(words: int, others: tuple[str, ...] = ()):
     """Rows (id, n, key) of documents, and (slice, counts) of the sketch of what the task has read."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,13 +69,13 @@ def _profiles(words: int):
             sets = [common.shingles(t, words) for t in f["text"]]
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-            yield pd.DataFrame({"id": f["id"], "n": [len(s) for s in sets], "key": [_key(s) for s in sets], "slice": -1, "counts": None})
+            yield pd.DataFrame({**{c: f[c] for c in f if c != "text"}, "n": [len(s) for s in sets], "key": [_key(s) for s in sets], "slice": -1, "counts": None})
         rows = []
         for k, part in enumerate(np.minimum(counts, 255).astype(np.uint8).reshape(-1, SLICE)):
             at = np.flatnonzero(part)
             if len(at):
                 rows.append((k, part.tobytes() if 3 * len(at) > SLICE else at.astype(np.uint16).tobytes() + part[at].tobytes()))
-        yield pd.DataFrame({"id": common.NO_ID, "n": 0, "key": 0, "slice": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+        yield pd.DataFrame({"id": common.NO_ID, **dict.fromkeys(others), "n": 0, "key": 0, "slice": [r[0] for r in rows], "counts": [r[1] for r in rows]})
 
     return task
 
@@ -287,10 +287,20 @@ def _union(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row; documents link when den * intersection >= num * union."""
-    spark = docs.sparkSession
-    rows = common.texts(docs, id_col, text_col)
-    profile = common.cut(rows.mapInPandas(_profiles(words), "id long, n long, key long, slice int, counts binary"))
-    each = profile.where("slice < 0").select("id", "n", "key")
+    out = _linked_rows(common.texts(docs, id_col, text_col), words, num, den)
+    none = F.col("n") == 0
+    component = F.when(none, F.col("id")).otherwise(F.col("component"))
+    out = out.withColumn("component_id", component)
+    return out.select(common.opened("id").alias("doc_id"), F.col("n").alias("n_shingles"), common.opened("component_id").alias("component_id"), F.when(none, 0).otherwise(F.col("links")).cast("long").alias("n_links"))
+
+
+def _linked_rows(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """id, n, other columns, root (one for each component), component (its smallest id) and links of rows (id, text, ...); all but id and n mean nothing where n is 0."""
+    spark = rows.sparkSession
+    others = {c: kind for c, kind in rows.dtypes if c not in ("id", "text")}
+    profile = common.cut(rows.mapInPandas(_profiles(words, tuple(others)), f"id long, {''.join(f'{c} {kind}, ' for c, kind in others.items())}n long, key long, slice int, counts binary"))
+    each = profile.where("slice < 0").select("id", *others, "n", "key")
+    rows = rows.select("id", "text")
     classes = each.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
 
     sketch = np.zeros(SKETCH, np.uint32)
@@ -327,19 +337,23 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     classes = classes.join(links, "key", "left").join(found.withColumnRenamed("node", "key"), "key", "left")
     # A component's name is its smallest id, which needn't belong to its smallest key.
     least = classes.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    classes = classes.join(least, "root", "left").select("key", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
-    out = each.join(classes, "key", "left")
-    none = F.col("n") == 0
-    component = F.when(none, F.col("id")).otherwise(F.col("component"))
-    out = out.withColumn("component_id", component)
-    return out.select(common.opened("id").alias("doc_id"), F.col("n").alias("n_shingles"), common.opened("component_id").alias("component_id"), F.when(none, 0).otherwise(F.col("links")).cast("long").alias("n_links"))
+    classes = classes.join(least, "root", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
+    return each.join(classes, "key", "left")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; of rows that repeat an id one stays. Rows with a null id stay only where no id is in their component."""
-    found = similar_documents(docs, words, num, den, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """The document with the smallest id of each component, with all its columns. Rows with a null id stay only where no id is in their component.
+
+    Null ids and ids that repeat with different texts are no components: if the smallest id of one has several texts, that of the smallest hash stays.
+    Texts without words stay; of rows that are equal in id and text one stays.
+    """
+    found = _linked_rows(common.texts(docs, id_col, text_col).withColumn("text_key", common.text_key("text")), words, num, den)
+    row = F.struct("id", "text_key").alias("row")
+    stay = found.where("n > 0").groupBy("root").agg(F.min(row).alias("row")).select("row").union(found.where("n = 0").select(row).distinct())
+    stay = stay.select(common.opened("row.id").alias("_kept_id"), F.col("row.text_key").alias("_kept_text"))
+    rows = docs.withColumn("_text", common.text_key(text_col))
+    rows = rows.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
+    return rows.dropDuplicates([id_col, "_text"]).drop("_text")
 
 
 ORACLE = r"""

@@ -125,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         x = np.array([statistics(t) for t in f["text"]], np.float32).reshape(-1, len(FEATURES))
-        yield pd.DataFrame({"id": f["id"], "x": [r.tobytes() for r in x]})
+        yield pd.DataFrame({**{c: f[c] for c in f if c != "text"}, "x": [r.tobytes() for r in x]})
 
 
 def fold(id_: Column, folds: int = FOLDS) -> Column:
@@ -134,26 +134,33 @@ def fold(id_: Column, folds: int = FOLDS) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = LEAST, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels of held-out ids (fold 0) are never used."""
-    rows = common.texts(docs, id_col, text_col)
-    x = common.cut(rows.mapInPandas(_statistics, "id long, x binary"))
+    out = _scored(common.texts(docs, id_col, text_col), labels, id_col, label_col, fit_rows)
+    return out.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def _scored(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> DataFrame:
+    """id, score and other columns of rows (id, text, ...)."""
+    others = "".join(f"{c} {kind}, " for c, kind in rows.dtypes if c not in ("id", "text"))
+    x = common.cut(rows.mapInPandas(_statistics, f"id long, {others}x binary"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0)
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
-    usable = common.cut(known.join(x.dropDuplicates(["id"]), "id").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
+    usable = common.cut(known.join(x.select("id", "x").dropDuplicates(["id"]), "id").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
     few = usable.where(F.col("h") <= F.lit((1 << 31) * (fit_rows / max(1, usable.count()))))  # fit_rows of them, but for chance
     sample = sorted(few.collect(), key=lambda r: (r["h"], r["id"]))[:fit_rows]
     model = fit(np.frombuffer(b"".join(r["x"] for r in sample), np.float32).reshape(-1, len(FEATURES)).astype(float), np.array([r["y"] for r in sample], float))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             s = sent.value.score(np.frombuffer(b"".join(f["x"]), np.float32).reshape(-1, len(FEATURES)).astype(float))
-            yield pd.DataFrame({"id": f["id"], "score": s})
+            yield pd.DataFrame({**{c: f[c] for c in f if c != "x"}, "score": s})
 
-    out = x.mapInPandas(apply, "id long, score double").withColumn("id", common.opened("id"))
-    return out.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return x.mapInPandas(apply, f"id long, {others}score double").withColumn("id", common.opened("id"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows that aren't rejected, with all their columns."""
-    bad = score(docs, labels, id_col, text_col, least=least).where("predicted = 0").select(F.col("doc_id").alias("_rejected_id"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_rejected_id")), "left_anti")
+    """The rows that aren't rejected, with all their columns. A row goes by its own text, whatever other rows of its id have."""
+    rows = common.texts(docs, id_col, text_col).withColumn("text_key", common.text_key("text"))
+    bad = _scored(rows, labels, id_col, "quality", FIT_ROWS).where(F.col("score") < least).select(F.col("id").alias("_rejected_id"), F.col("text_key").alias("_rejected_text"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_rejected_id")) & (F.col("_text") == F.col("_rejected_text"))
+    return docs.withColumn("_text", common.text_key(text_col)).join(bad, same, "left_anti").drop("_text")

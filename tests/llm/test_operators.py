@@ -110,6 +110,29 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert jaccard_join.one_of_each(docs_of(spark, texts, ids=[5, 5, 6, 7])).count() == 2
 
 
+def test_stages_decide_by_row(spark):
+    """Null ids and ids that repeat with different texts: rows stay or go by their own text in all three stages."""
+    words = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(6)]
+    rows = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect()))
+    # Different texts under null ids and under id 4, one of which is a copy of document 1; 7 repeats in full.
+    docs = docs_of(spark, [words[0], words[0], words[1], words[2], words[3], words[4], words[4], words[3]], ids=[1, 4, 4, None, None, 7, 7, None])
+    want = sorted([(False, 1, words[0]), (False, 4, words[1]), (True, 0, words[2]), (True, 0, words[3]), (False, 7, words[4])])
+    assert rows(exact_dedup.drop_duplicates(docs)) == want
+    assert rows(jaccard_join.one_of_each(docs)) == want
+    # Two components whose smallest id is 4, near copies under null ids, and texts without words.
+    near = [w + " more" for w in words]
+    docs = docs_of(spark, [words[0], near[0], words[1], near[1], words[2], near[2], "", " ", None], ids=[4, 5, 4, 6, None, None, None, 8, None])
+    got = rows(jaccard_join.one_of_each(docs, 2, 80, 100).fillna("", ["text"]))
+    assert [r for r in got if r[2] not in (words[2], near[2])] == sorted([(False, 4, words[0]), (False, 4, words[1]), (False, 8, " "), (True, 0, "")]) and len(got) == 5
+    # Blanks differ, and the longest text of the id that stays is kept.
+    assert rows(exact_dedup.drop_duplicates(docs_of(spark, ["ab", "a b", "a  b", "c"], ids=[4, 4, 9, None]))) == [(False, 9, "a  b"), (True, 0, "c")]
+    good, bad = "Some quiet words. " * 30, "!!! $$$ " * 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 400)], "doc_id long, quality int")
+    docs = docs_of(spark, [good if i % 2 else bad for i in range(100, 400)] + [good, bad, good, bad], ids=[*range(100, 400), None, None, 5, 5])
+    kept = quality.keep_good(docs, labels)
+    assert rows(kept.where("doc_id is null or doc_id = 5")) == [(False, 5, good), (True, 0, good)] and kept.columns == docs.columns
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(500, k) for k in range(501, 600)]
