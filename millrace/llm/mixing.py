@@ -8,7 +8,7 @@ repeat every document; the rest of the budget takes documents in key order, the
 
 Built-in expressions only. Defined cases: a null text has no words; documents without words are taken with 0 words; a null
 source is a source of its own, after all others; a null id hashes like any value; repeated rows are documents of their
-own (ties of the key go by id, then size). An empty table, or one without words, gives targets of 0.
+own (ties of the key go by id, then size, for :func:`mixed_documents` then text). An empty table, or one without words, gives targets of 0.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def _prefix(key: Column, rows: int) -> Column:
     return F.shiftright(F.conv(F.substring(F.coalesce(key, F.lit("000000")), 1, 6), 16, 10).cast("int"), 24 - bits)
 
 
-def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, ties: tuple[str, ...] = ()) -> DataFrame:
     count = rows.count()
     rows = rows.withColumn("key", F.coalesce("key", F.lit("0" * 32))).withColumn("bucket", _prefix(F.col("key"), count))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -66,7 +66,7 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -
     buckets = buckets.withColumn("base", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(goal, F.col("source").eqNullSafe(F.col("source2")))
     buckets = buckets.select("source2", F.col("bucket").alias("bucket2"), "base", "source_size", "target")
     rows = rows.join(buckets, F.col("source").eqNullSafe(F.col("source2")) & (F.col("bucket") == F.col("bucket2"))).drop("source2", "bucket2")
-    before = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
@@ -77,12 +77,15 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """The mix itself: a row for each epoch that takes the document, with all its columns; the last may have the first words only, with single spaces."""
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_source": F.col(source_col)})
-    slim = rows.select(F.col("_id").alias("id"), F.col("_source").alias("source"), common.n_words(F.col(text_col)).alias("size")).distinct()
+    # Rows of the same id, source and text have one key; each of them counts in the budget, and is taken, by itself.
+    same = F.to_json(F.struct(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), common.text_key(text_col).alias("text")))
+    rows = docs.withColumn("_same", F.unhex(F.sha2(same.cast("binary"), 256)))
+    slim = rows.select("_same", F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), common.n_words(F.col(text_col)).alias("size"))
     slim = common.cut(slim.withColumn("key", F.md5(F.col("id").cast("string").cast("binary"))))
-    taken = _taken(slim, weights, share, most).select("id", F.col("source").alias("source3"), F.col("size").alias("size3"), "epochs", "part")
-    rows = rows.withColumn("_size", common.n_words(F.col(text_col)))
-    rows = rows.join(taken, F.col("_id").eqNullSafe(F.col("id")) & F.col("_source").eqNullSafe(F.col("source3")) & (F.col("_size") == F.col("size3")))
+    # Equal rows follow each other in the order of the prefix sums, so their parts are the whole of some, a part of one and nothing of the others.
+    taken = _taken(slim, weights, share, most, ("_same",)).groupBy("_same").agg(F.first("epochs").alias("epochs"), F.sum("part").alias("_parts"), F.first("size").alias("_size"))
+    rows = rows.join(taken, "_same").withColumn("_number", F.row_number().over(Window.partitionBy("_same").orderBy("_same")))
+    rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_parts") - (F.col("_number") - 1) * F.col("_size"))))
     copies = F.filter(F.concat(F.array_repeat(F.col("_size"), F.col("epochs")), F.array(F.col("part"))), lambda x: (x > 0) | (F.col("_size") == 0))
     rows = rows.withColumn("_words", F.explode(copies))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(common.WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")

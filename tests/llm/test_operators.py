@@ -273,6 +273,27 @@ def test_mixing(spark):
     assert rows.text.map(lambda t: len((t or "").encode().split())).sum() == got.taken.sum()
 
 
+def test_mixed_documents_of_repeated_and_null_ids(spark):
+    """Rows that repeat, or have null ids and equal sizes, count and are taken each by itself."""
+    texts = [f"t{i % 50} b c d" for i in range(100)] + ["same text here"] * 30 + [f"other {i} x" for i in range(40)] + ["", None, ""]
+    ids = [None] * 100 + [7] * 30 + list(range(100, 140)) + [None] * 3
+    sources = ["a"] * 60 + ["b"] * 40 + ["a"] * 15 + ["b"] * 15 + ["c"] * 40 + ["a"] * 3
+    docs = docs_of(spark, texts, sources, ids)
+    rows = mixing.mixed_documents(docs).toPandas()
+    size = rows.text.map(lambda t: len((t or "").split()))
+    words = size.groupby(rows.source).sum()
+    totals = {s: sum(len((t or "").split()) for t, x in zip(texts, sources) if x == s) for s in "abc"}
+    target, left, open_ = {}, 1.5 * sum(totals.values()), dict(zip("abc", (3, 1, 2)))
+    while any(left * w / sum(open_.values()) > 2 * totals[s] for s, w in open_.items()):
+        full = [s for s, w in open_.items() if left * w / sum(open_.values()) > 2 * totals[s]]
+        target |= {s: 2 * totals[s] for s in full}
+        left, open_ = left - sum(target[s] for s in full), {s: w for s, w in open_.items() if s not in full}
+    target |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+    assert words.to_dict() == {s: round(t) for s, t in target.items()}
+    cut = (size > 0) & ~rows.text.isin(texts)
+    assert cut.groupby(rows.source).sum().max() <= 1 and set(rows.columns) == set(docs.columns)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 12)) * rng.uniform(0.2, 3, size=(700, 1))
