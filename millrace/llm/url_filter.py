@@ -1,7 +1,7 @@
 """URL filters: host rules first, then rules mined from labels.
 
 A url gives tokens: the labels of its host, its path segments and the names of its query's parameters. FP-growth finds combinations of tokens that
-labelled urls share with the label *unwanted*; combinations of at most ``most`` tokens that reach the support and the confidence become rules. Rules are kept
+labelled urls share with the label *unwanted*; combinations, however long, that reach the support and the confidence become rules. Rules are kept
 in an inverted index under their longest token; a url looks up its tokens there and a rule fits if the url has all of its tokens.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no tokens and the verdict allow. Rows that repeat a page are judged
@@ -21,7 +21,6 @@ from millrace.llm import common
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SUPPORT = 0.002
 CONFIDENCE = 0.75
-MOST = 3
 #: Mined rules up to which the index is sent to every executor; beyond, urls and rules are joined by a shuffle.
 SENT = 10_000
 _UNWANTED = "!"
@@ -57,11 +56,11 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST) -> DataFrame:
+def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """rule_tokens, confidence, support of mined rules, from rows (tokens, unwanted boolean)."""
     baskets = urls.where(F.size("tokens") > 0).select(F.when(F.col("unwanted"), F.array_append("tokens", F.lit(_UNWANTED))).otherwise(F.col("tokens")).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=common.partitions(urls.sparkSession)).fit(baskets).associationRules
-    rules = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _UNWANTED) & (F.size("antecedent") <= most))
+    rules = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _UNWANTED))
     return rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
 
 

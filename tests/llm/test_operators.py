@@ -397,6 +397,22 @@ def test_url_rules_are_mined_and_matched(spark):
         assert sum(fit) / len(fit) == pytest.approx(rule.confidence) and rule.confidence >= url_filter.CONFIDENCE
 
 
+def test_url_rule_of_four_tokens(spark):
+    """Only all four tokens together are unwanted; any three of them are wanted as often."""
+    four = ["aa", "bb", "cc"]
+    urls = []
+    for k in range(40):
+        urls.append(("http://aa.bb.cc/dd/", True))
+        for left in range(4):
+            t = [*four, "dd"]
+            t[left] = f"w{'xyz'[k % 3]}"
+            urls.append((f"http://{t[0]}.{t[1]}.{t[2]}/{t[3]}/", False))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(urls)], "id long, unwanted boolean")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, rules=()).collect()}
+    assert got == {i: "block" if b else "allow" for i, (_, b) in enumerate(urls)}
+
+
 def test_license_scan(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
