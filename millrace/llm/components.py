@@ -2,8 +2,8 @@
 
 Each partition first replaces its edges by a spanning forest of stars. Then large-star and small-star steps alternate (every
 node hangs its larger neighbours, then its smaller ones, on the smallest node it knows) until nothing changes, which takes
-a number of rounds that grows with the logarithm of the nodes. Minima are aggregated before they are shuffled, so a node
-with very many edges is no hot spot.
+a number of rounds that grows with the logarithm of the nodes. Minima are aggregated before they are shuffled, and nodes with very many edges, which are few,
+are joined by a broadcast, so they are no hot spots.
 """
 
 from __future__ import annotations
@@ -59,12 +59,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # a > b from here on. Large star: neighbours above u go to the smallest of u and its neighbours.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        total = 2 * edges.count()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("size"))
+        large = common.join_by_size(both, least, "u", "size", total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: neighbours at or below u, and u, go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+        small = common.join_by_size(large, least, "a", "size", total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         small = common.cut(small.where("a <> b").distinct())
+        common.forget(edges)
         # Done when no node has two smaller neighbours and no root has a smaller neighbour itself.
         tall = small.select(F.col("b").alias("a")).join(small.select("a"), "a", "left_semi")
         if tall.isEmpty() and small.groupBy("a").count().where("count > 1").isEmpty():

@@ -4,16 +4,18 @@ Texts count as equal when they agree after all of space, tab, newline, vertical
 
 1. Each task feeds digests to an :class:`Index`: a memtable takes entries until it is full and is then flushed as a run,
    sorted by digest, with a Bloom filter. A digest that a filter lets through is searched for in that run. When there are
-   too many runs they are compacted to one; an entry keeps the largest original and, among these, the smallest id.
-2. The tasks' last runs are cut by digest range; ranges are compacted across tasks. A digest has one entry from each task
-   at most, so a very frequent text is no hot spot.
-3. Hits, that is rows of digests that occur more than once, receive byte verification against the row that stays. Rows
-   whose bytes differ (possible with a short digest only) are grouped by their bytes.
+   too many runs they are compacted to one; an entry keeps the largest original and, among these, the smallest id. An index that
+   has grown to HELD entries leaves its task as a run of the table, and the task starts another, so memory is bounded.
+2. The tasks' runs are cut by digest range; ranges are compacted across tasks. A digest has few entries from each task, so a very
+   frequent text is no hot spot.
+3. Hits, that is rows of digests that occur more than once, receive byte verification: a task passes on the bytes of a digest once for
+   each kind of bytes it sees, and a digest's smallest and largest bytes must be the same. Digests that fail (possible with a short digest
+   only) are grouped by their whole SHA-256.
 
 Defined cases: a null text is empty and equals all texts of white space only. A null id comes after all others. Rows that
 repeat an id with an equal text are members like others; each repetition of the id that stays is marked as kept, unless
 :func:`drop_duplicates` is used, which leaves one row of each text, whatever ids repeat or are null. An empty table gives an empty result. Other columns are ignored, or
-passed through by :func:`drop_duplicates`.
+passed through by :func:`drop_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,49 +25,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
+from millrace.llm.common import Filter
+from millrace.llm.common import key_numbers as _keys
 
 MEMTABLE = 65_536
 RUNS = 4
-#: Bits of the filter over digests with more than one row: a bound on what is broadcast (4 MB).
-FILTER_BITS = 1 << 25
-#: Rows of one group that one task verifies.
-VERIFIED = 256
-_BLANK = str.maketrans("", "", common.SPACES)
-
-
-def _keys(digests) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(d[:8]).ljust(8, b"\0") for d in digests), ">u8").astype(np.uint64)
-
-
-class Filter:
-    """Bloom filter of 64-bit keys with four probes."""
-
-    def __init__(self, bits: int, data: np.ndarray | None = None):
-        self.bits = bits
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        a = keys * np.uint64(0x9E3779B97F4A7C15)
-        b = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1)
-        return np.stack([((a + np.uint64(i) * b) >> np.uint64(20)) % np.uint64(self.bits) for i in range(4)])
-
-    def add(self, keys: np.ndarray) -> None:
-        at = self._at(keys).ravel()
-        np.bitwise_or.at(self.data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = self._at(keys)
-        return ((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+#: Entries with which an index leaves its task, and about as many rows are compacted together across tasks.
+HELD = 1 << 20
+#: Bytes of texts that a task remembers while it verifies, to pass on what differs only.
+REMEMBERED = 1 << 25
+_BLANK = common.SPACES.encode()
+_CONTINUED = bytes(range(0x80, 0xC0))
+_ORDER = ["digest", "chars", "id", "key"]
 
 
 def compact(runs: list[pd.DataFrame]) -> pd.DataFrame:
-    """One run: an entry for each digest, sorted, with the largest original, then the smallest id, and the number of rows."""
+    """One run: an entry for each digest, sorted, with the largest original, then the smallest id and key, and the number of rows."""
     rows = pd.concat(runs, ignore_index=True)
-    rows = rows.sort_values(["digest", "chars", "id"], ascending=[True, False, True], kind="stable", ignore_index=True)
+    rows = rows.sort_values(_ORDER, ascending=[True, False, True, True], kind="stable", ignore_index=True)
     first = ~rows["digest"].duplicated()
     out = rows[first].reset_index(drop=True)
     out["n"] = rows.groupby((first.cumsum() - 1).to_numpy())["n"].sum().to_numpy()
@@ -73,26 +55,29 @@ def compact(runs: list[pd.DataFrame]) -> pd.DataFrame:
 
 
 class Index:
-    """Log-structured merge index: digest to (chars, id, n)."""
+    """Log-structured merge index: digest to (chars, id, key, n)."""
 
     def __init__(self, memtable: int = MEMTABLE, runs: int = RUNS):
         self.memtable, self.most, self.limit = {}, runs, memtable
         self.runs: list[tuple[pd.DataFrame, Filter]] = []
 
-    def put(self, digest: bytes, chars: int, id_: int) -> None:
+    def put(self, digest: bytes, chars: int, id_: int, key: bytes = b"") -> None:
         old = self.memtable.get(digest)
         if old is None:
             if len(self.memtable) >= self.limit:
                 self.flush()
-            self.memtable[digest] = (-chars, id_, 1)
+            self.memtable[digest] = (-chars, id_, key, 1)
         else:
-            self.memtable[digest] = (*min(old[:2], (-chars, id_)), old[2] + 1)
+            self.memtable[digest] = (*min(old[:3], (-chars, id_, key)), old[3] + 1)
+
+    def __len__(self) -> int:
+        return sum(len(r) for r, _ in self.runs) + len(self.memtable)
 
     def flush(self) -> None:
         """Entries that an earlier run has are merged into it; the others become a run."""
         if not self.memtable:
             return
-        new = pd.DataFrame([(d, -c, i, n) for d, (c, i, n) in self.memtable.items()], columns=["digest", "chars", "id", "n"])
+        new = pd.DataFrame([(d, -c, i, k, n) for d, (c, i, k, n) in self.memtable.items()], columns=[*_ORDER, "n"])
         new = new.sort_values("digest", ignore_index=True)
         self.memtable = {}
         for k, (run, seen) in enumerate(self.runs):
@@ -114,116 +99,106 @@ class Index:
         self.runs.append((run, seen))
 
     def close(self) -> pd.DataFrame | None:
+        """All entries as one run; the index is empty then."""
         self.flush()
-        return compact([r for r, _ in self.runs]) if self.runs else None
+        out, self.runs = compact([r for r, _ in self.runs]) if self.runs else None, []
+        return out
 
 
-_ENTRY = "range int, digest binary, chars long, id long, n long"
+_ENTRY = "range int, digest binary, chars long, id long, key binary, n long"
 
 
 def _runs(ranges: int, memtable: int):
+    def ranged(run: pd.DataFrame) -> pd.DataFrame:
+        run.insert(0, "range", [d[0] * ranges >> 8 if len(d) < 4 else int.from_bytes(d[:4], "big") * ranges >> 32 for d in run["digest"]])
+        return run
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(memtable)
         for f in frames:
-            for digest, chars, id_ in zip(f["digest"], f["chars"].tolist(), f["id"].tolist()):
-                index.put(bytes(digest), chars, id_)
+            for digest, chars, id_, key in zip(f["digest"], f["chars"].tolist(), f["id"].tolist(), f["key"]):
+                index.put(bytes(digest), chars, id_, bytes(key))
+            if len(index) >= HELD:
+                yield ranged(index.close())
         if (run := index.close()) is not None:
-            run.insert(0, "range", [d[0] * ranges >> 8 if len(d) < 4 else int.from_bytes(d[:4], "big") * ranges >> 32 for d in run["digest"]])
-            yield run
+            yield ranged(run)
 
     return task
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    return compact([rows[["digest", "chars", "id", "n"]]])
-
-
-def _hits(seen, digest_bytes: int):
-    """Rows whose digest may occur more than once, with their bytes."""
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = Filter(FILTER_BITS, np.frombuffer(seen.value, np.uint8))
-        for f in frames:
-            bare = [(x or "").translate(_BLANK) for x in f["text"]]
-            digest = [hashlib.sha256(x.encode()).digest()[:digest_bytes] for x in bare]
-            yield pd.DataFrame({"id": f["id"], "digest": digest, "bare": bare})[test.has(_keys(digest))]
+    return compact([rows[[*_ORDER, "n"]]])
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, key, sha of the text without white space, and code points of the original."""
+    for b in batches:
+        found = [t or b"" for t in b.column(1).to_pylist()]
+        keys = [common.row_key(i, t) for i, t in zip(b.column(0).to_pylist(), found)]
+        sha = [hashlib.sha256(t.translate(None, _BLANK)).digest() for t in found]
+        chars = [len(t) if t.isascii() else len(t.translate(None, _CONTINUED)) for t in found]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sha, pa.binary()), pa.array(chars, pa.int64())], ["id", "key", "sha", "chars"])
+
+
+def _hits(sent, bits: int, digest_bytes: int):
+    """Digests that may occur more than once, with the bytes of their texts: what a task has seen it doesn't pass on again."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test, seen, size = Filter(bits, np.frombuffer(sent.value, np.uint8)), {}, 0
+        for b in batches:
+            bare = [(t or b"").translate(None, _BLANK) for t in b.column(0).to_pylist()]
+            digest = [hashlib.sha256(x).digest()[:digest_bytes] for x in bare]
+            out = []
+            for k in np.flatnonzero(test.has(_keys(digest))) if digest else ():
+                if seen.get(digest[k]) != bare[k]:
+                    out.append(k)
+                    if digest[k] not in seen and size < REMEMBERED:
+                        seen[digest[k]] = bare[k]
+                        size += len(bare[k]) + 100
+            yield pa.RecordBatch.from_arrays([pa.array([digest[k] for k in out], pa.binary()), pa.array([bare[k] for k in out], pa.binary())], ["digest", "bare"])
 
     return task
 
 
-def _filter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    test = Filter(FILTER_BITS)
-    for f in frames:
-        test.add(_keys(f["digest"]))
-    if test.data.any():
-        yield pd.DataFrame({"bits": [test.data.tobytes()]})
-
-
-def _or(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for f in frames:
-        for x in f["bits"]:
-            bits |= np.frombuffer(x, np.uint8)
-    yield pd.DataFrame({"bits": [bits.tobytes()]})
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int, memtable: int) -> DataFrame:
+    """id, key, sha, keep_id, keep_key and group_size of every row."""
+    spark = docs.sparkSession
+    rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    slim = common.cut(rows.mapInArrow(_profiles, "id long, key binary, sha binary, chars long"))
+    slim = slim.withColumn("digest", F.substring("sha", 1, digest_bytes))
+    total = slim.count()
+    ranges = max(common.partitions(spark), total // HELD) if digest_bytes >= 4 else 1
+    entries = slim.select("id", "digest", "chars", "key").mapInPandas(_runs(ranges, memtable), _ENTRY)
+    index = common.cut(entries.groupBy("range").applyInPandas(_merge, "digest binary, chars long, id long, key binary, n long"))
+    index = index.select("digest", F.col("id").alias("keep_id"), F.col("key").alias("keep_key"), F.col("n").alias("group_size"))
+    out = common.join_by_size(slim, index, "digest", "group_size", total)
+
+    # Byte verification: digests whose smallest and largest bytes differ.
+    many = index.where("group_size > 1")
+    sent, bits = common.sent_filter(many, "digest")
+    hits = rows.select("text").mapInArrow(_hits(sent, bits, digest_bytes), "digest binary, bare binary")
+    wrong = common.cut(hits.groupBy("digest").agg(F.min("bare").alias("low"), F.max("bare").alias("high")).where("low <> high").select("digest"))
+    if not wrong.isEmpty():
+        again = slim.join(wrong, "digest", "left_semi").groupBy("sha").agg(F.min(F.struct(-F.col("chars"), "id", "key")).alias("best"), F.count("*").alias("own_n"))
+        out = out.join(again, "sha", "left")
+        own = {"keep_id": F.coalesce("best.id", "keep_id"), "keep_key": F.coalesce("best.key", "keep_key"), "group_size": F.coalesce("own_n", "group_size")}
+        out = out.withColumns(own)
+    return out.select("id", "key", "sha", "keep_id", "keep_key", "group_size")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16, memtable: int = MEMTABLE) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    spark = docs.sparkSession
-    rows = common.texts(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    sha = F.sha2(F.translate("text", common.SPACES, ""), 256)
-    slim = common.cut(rows.select("id", sha.alias("sha"), F.length("text").cast("long").alias("chars")))
-    slim = slim.withColumn("digest", F.substring(F.unhex("sha"), 1, digest_bytes))
-    ranges = common.partitions(spark) if digest_bytes >= 4 else 1
-    entries = slim.select("id", "digest", "chars").mapInPandas(_runs(ranges, memtable), _ENTRY)
-    index = common.cut(entries.groupBy("range").applyInPandas(_merge, "digest binary, chars long, id long, n long"))
-    index = index.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-
-    out = slim.join(index, "digest", "left").select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
-    wrong = _differing(rows, index, digest_bytes)
-    if wrong is not None:
-        out = _regroup(rows, out, wrong, digest_bytes)
-    return out.select(common.opened("doc_id").alias("doc_id"), common.opened("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
-
-
-def _differing(rows: DataFrame, index: DataFrame, digest_bytes: int) -> DataFrame | None:
-    """Byte verification: digests under which bytes differ from those of the row that stays; None if there are none."""
-    spark = rows.sparkSession
-    many = index.where("group_size > 1")
-    filters = many.select("digest").mapInPandas(_filter, "bits binary").coalesce(max(1, common.partitions(spark) // 8)).mapInPandas(_or, "bits binary")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in filters.toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
-    if not bits.any():
-        return None
-    hits = rows.mapInPandas(_hits(spark.sparkContext.broadcast(bits.tobytes()), digest_bytes), "id long, digest binary, bare string")
-    salts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
-    hits = common.cut(hits.join(many, "digest")).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    keep = hits.where("id = keep_id").select("digest", F.col("bare").alias("kept_bare"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    keep = keep.groupBy("digest", "salt").agg(F.min("kept_bare").alias("kept_bare"))
-    wrong = common.cut(hits.join(keep, ["digest", "salt"]).where("bare <> kept_bare").select("digest").distinct())
-    return None if wrong.isEmpty() else wrong
-
-
-def _regroup(rows: DataFrame, out: DataFrame, wrong: DataFrame, digest_bytes: int) -> DataFrame:
-    """Group the rows of these digests by their bytes instead."""
-    again = rows.select("id", F.translate("text", common.SPACES, "").alias("bare"), F.length("text").cast("long").alias("chars"))
-    again = again.withColumn("sha", F.sha2("bare", 256)).withColumn("digest", F.substring(F.unhex("sha"), 1, digest_bytes)).join(wrong, "digest", "left_semi")
-    best = again.groupBy("bare").agg(F.min(F.struct(-F.col("chars"), "id")).getField("id").alias("own_id"), F.count("*").alias("own_n"), F.first("sha").alias("text_sha256"))
-    return out.join(best.drop("bare"), "text_sha256", "left").select("doc_id", F.when(F.col("own_n").isNull(), F.col("keep_id")).otherwise(F.col("own_id")).alias("keep_id"), F.coalesce("own_n", "group_size").alias("group_size"), "text_sha256")
+    out = _grouped(docs, id_col, text_col, digest_bytes, memtable)
+    return out.select(common.opened("id").alias("doc_id"), common.opened("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with all its columns: of the rows of the id that stays, the one whose text is longest, then largest.
+    """One row of each group of equal texts, with all its columns: the longest, then that of the smallest id, then that of the smallest hash.
 
-    Null ids and ids that repeat with different texts are no groups: each text stays once. Rows with a null id go if a row with an id has the same text.
+    Null ids and ids that repeat with different texts are no groups: each text stays once. Rows with a null id go if a row with an id has a text as long.
     """
-    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_text")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_bare", F.unhex(F.sha2(F.translate(text, common.SPACES, ""), 256)))
-    rows = rows.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_bare") == F.col("_kept_text")), "left_semi")
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    return rows.groupBy("_bare").agg(F.max_by(whole, F.struct(F.length(text), text)).alias("_row")).select("_row.*")
+    found = _grouped(docs, id_col, text_col, 16, MEMTABLE).where("group_size > 1")
+    return common.kept_rows(docs, id_col, text_col, common.cut(found.select("key", (F.col("key") == F.col("keep_key")).alias("kept")).distinct()))
 
 
 ORACLE = r"""

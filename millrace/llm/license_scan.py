@@ -160,11 +160,11 @@ def _frequencies(vocabulary: frozenset[str]):
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", heads: dict[str, tuple[str, ...]] = HEADS) -> DataFrame:
     """doc_id, path, own_license, score, license, license_from for every row; score is the cosine of an own licence, else 0; license_from is the directory that gave it, null for an own licence."""
     spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     vocabulary = frozenset(w for some in (templates, heads) for texts in some.values() for t in texts for w in words(t))
     counts = rows.select("text").mapInPandas(_frequencies(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequency = {r["word"]: r["n"] for r in counts.collect()}  # a row for each word of the templates at most
+    with common.small_batches(spark):
+        frequency = {r["word"]: r["n"] for r in counts.collect()}  # a row for each word of the templates at most
     sent = spark.sparkContext.broadcast(Matcher(templates, frequency, max(1, frequency.get("", 0)), heads))
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,11 +186,17 @@ def inherit(own: DataFrame) -> DataFrame:
     name = F.element_at(parts, -1)
     declared = own.where(F.col("own_license").isNotNull() & name.rlike(LICENCE_FILE)).withColumn("folder", folder)
     declared = declared.groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own_license")).getField("own_license").alias("given"))
-    # Ancestors of distinct folders, so a folder with very many files is one row.
-    folders = own.where("own_license is null and path is not null").select(folder.alias("of")).distinct()
+    # Only rows that may inherit are joined, and ancestors of distinct folders, so a folder with very many files is one row there.
+    heirs, others = F.col("own_license").isNull() & F.col("path").isNotNull(), F.col("own_license").isNotNull() | F.col("path").isNull()
+    below = own.where(heirs).withColumn("of", folder)
+    folders = common.cut(below.groupBy("of").agg(F.count("*").alias("files")))
     up = F.split("of", "/")
-    ancestors = folders.select("of", F.explode(F.transform(F.sequence(F.lit(0), F.size(up)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(up, F.lit(1), n), "/").alias("folder")))).alias("a"))
-    ancestors = ancestors.select("of", "a.depth", "a.folder").join(declared, "folder")
-    nearest = ancestors.groupBy("of").agg(F.max(F.struct("depth", "folder", "given")).alias("best"))
-    out = own.withColumn("of", F.when(F.col("own_license").isNull(), folder)).join(nearest, "of", "left")
-    return out.select("doc_id", "path", "own_license", "score", F.coalesce("own_license", "best.given").alias("license"), F.col("best.folder").alias("license_from"))
+    ancestors = folders.select("of", F.explode(F.transform(F.sequence(F.lit(0), F.size(up)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(up, F.lit(1), n), "/").alias("folder")))).alias("a")).select("of", "a.depth", "a.folder")
+    # The nearer to the root a folder is, the more rows have it as an ancestor.
+    declared = declared.join(ancestors.groupBy("folder").agg(F.count("*").alias("below")), "folder")
+    found = common.join_by_size(ancestors, declared, "folder", "below", ancestors.count())
+    nearest = found.groupBy("of").agg(F.max(F.struct("depth", "folder", "given")).alias("best"))
+    nearest = folders.join(nearest, "of", "left")
+    out = common.join_by_size(below, nearest, "of", "files", folders.agg(F.sum("files")).first()[0] or 0)
+    out = out.select("doc_id", "path", "own_license", "score", F.col("best.given").alias("license"), F.col("best.folder").alias("license_from"))
+    return out.union(own.where(others).select("doc_id", "path", "own_license", "score", F.col("own_license").alias("license"), F.lit(None).cast("string").alias("license_from")))

@@ -8,7 +8,8 @@ cut over the sequences with most room. A block's last, partly filled sequence go
 end of a task it is cut into sequences whose lengths are powers of two, which need no padding.
 
 No shuffle: a task packs the documents that it reads, in blocks, so memory is bounded and any number of tasks work alike.
-Sequence ids hold the partition's number in the upper bits; a task that runs again makes the same rows.
+Sequence ids hold the partition's number in the upper bits. The pieces are checkpointed, so a task that runs again later, perhaps over
+rows in another order, doesn't make other sequences.
 
 Defined cases: a null or empty text is its end token only. A null id packs like any other. Repeated rows are packed each on its
 own. A very long text is cut like any other. An empty table gives an empty result; other columns are ignored.
@@ -55,18 +56,29 @@ class Words:
         self.t = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.t.get_added_tokens_decoder().values()]
         self.whole: dict[bytes, bytes] = {}
+        self.plain = self._plain()
+
+    def _plain(self) -> bool:
+        """Whether this tokenizer lower-cases letters and parts them from marks behind them; if it doesn't, whole words are encoded."""
+        t = self.t
+        if t.normalizer is None or t.pre_tokenizer is None:
+            return False
+        split = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str("Ab" + _TAIL.decode()))]
+        return split == ["ab", _TAIL.decode()]
 
     def _encode(self, word: bytes) -> bytes:
         if any(s in word for s in self.special):
             ids = self.t.encode(word.decode(), add_special_tokens=False).ids
         else:
-            ids = [t.id for p, _ in self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(word.decode())) for t in self.t.model.tokenize(p)]
+            text = self.t.normalizer.normalize_str(word.decode()) if self.t.normalizer else word.decode()
+            pieces = [p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(text)] if self.t.pre_tokenizer else [text]
+            ids = [t.id for p in pieces for t in self.t.model.tokenize(p)]
         return array("I", ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         low = word.lower()
         core = low.rstrip(_TAIL)
-        if not (core.isalpha() and core.isascii()):
+        if not (self.plain and core.isalpha() and core.isascii()):
             return self._encode(word)
         if (b := self.whole.get(core)) is None:  # letters are one pre-token, marks behind them another
             b = self.whole[core] = array("I", [t.id for t in self.t.model.tokenize(core.decode())]).tobytes()
@@ -182,5 +194,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
         packer.block(waiting, carried, True)
         yield packer.take()
 
-    rows = common.texts(docs, id_col, text_col).mapInPandas(task, OUT)
+    rows = common.cut(common.texts(docs, id_col, text_col).mapInPandas(task, OUT))
     return rows.withColumn("doc_id", common.opened("doc_id"))

@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of every whole text are computed once by the executors. The driver fits on at most FIT_ROWS labelled rows (of those whose hash of the id is
-below a threshold for about as many; the bound is the parameter ``fit_rows``): features are cut into bins at quantiles, and each tree grows
+The driver fits on at most FIT_ROWS labelled rows (of those whose hash of the id is
+below a threshold for about as many; the bound is the parameter ``fit_rows``); each row is then scored where it is read, by statistics of its whole text, without a shuffle. Features are cut into bins at quantiles, and each tree grows
 level by level from sums of gradients by bin. Trees are complete, so they flatten into arrays (feature, bin, value) of fixed
 shape, and scoring walks all rows through a level at once in numpy.
 
@@ -16,9 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common
 
@@ -122,45 +124,66 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return model
 
 
-def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        x = np.array([statistics(t) for t in f["text"]], np.float32).reshape(-1, len(FEATURES))
-        yield pd.DataFrame({**{c: f[c] for c in f if c != "text"}, "x": [r.tobytes() for r in x]})
+def _features(found: list) -> np.ndarray:
+    return np.array([statistics(t) for t in found], np.float32).reshape(-1, len(FEATURES))
+
+
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = [r.tobytes() for r in _features(b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["id", "x"])
 
 
 def fold(id_: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> Trees:
+    """Fitted on at most fit_rows labelled ids that documents have; an id with several texts counts with the statistics that sort first."""
+    spark = docs.sparkSession
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0)
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
+    known = known.join(docs.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
+    known = common.cut(known.select("id", "y", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("h")))
+    few = known.where(F.col("h") <= F.lit((1 << 31) * (fit_rows / max(1, known.count()))))  # fit_rows of them, but for chance
+    sample = sorted(few.collect(), key=lambda r: (r["h"], r["id"]))[:fit_rows]
+    y = {r["id"]: r["y"] for r in sample}
+    sent = spark.sparkContext.broadcast(np.array(sorted(y), np.int64))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(sent.value)
+        for b in batches:
+            yield b.filter(pc.is_in(b.column(0), ids))
+
+    rows = common.texts(docs, id_col, text_col)
+    x = rows.mapInArrow(chosen, rows.schema).mapInArrow(_statistics, "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
+    with common.small_batches(spark):
+        x = {r["id"]: r["x"] for r in x.collect()}  # a row for each id of the sample at most
+    ids = [r["id"] for r in sample if r["id"] in x]
+    return fit(np.frombuffer(b"".join(x[i] for i in ids), np.float32).reshape(-1, len(FEATURES)).astype(float), np.array([y[i] for i in ids], float))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = LEAST, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels of held-out ids (fold 0) are never used."""
-    out = _scored(common.texts(docs, id_col, text_col), labels, id_col, label_col, fit_rows)
-    return out.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, id_col, text_col, label_col, fit_rows))
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = sent.value.score(_features(b.column(1).to_pylist()).astype(float))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-def _scored(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> DataFrame:
-    """id, score and other columns of rows (id, text, ...)."""
-    others = "".join(f"{c} {kind}, " for c, kind in rows.dtypes if c not in ("id", "text"))
-    x = common.cut(rows.mapInPandas(_statistics, f"id long, {others}x binary"))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0)
-    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
-    usable = common.cut(known.join(x.select("id", "x").dropDuplicates(["id"]), "id").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))))
-    few = usable.where(F.col("h") <= F.lit((1 << 31) * (fit_rows / max(1, usable.count()))))  # fit_rows of them, but for chance
-    sample = sorted(few.collect(), key=lambda r: (r["h"], r["id"]))[:fit_rows]
-    model = fit(np.frombuffer(b"".join(r["x"] for r in sample), np.float32).reshape(-1, len(FEATURES)).astype(float), np.array([r["y"] for r in sample], float))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    out = common.cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, score double"))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s = sent.value.score(np.frombuffer(b"".join(f["x"]), np.float32).reshape(-1, len(FEATURES)).astype(float))
-            yield pd.DataFrame({**{c: f[c] for c in f if c != "x"}, "score": s})
 
-    return x.mapInPandas(apply, f"id long, {others}score double").withColumn("id", common.opened("id"))
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows that aren't rejected, with all their columns, filtered where they are read. A row goes by its own text, whatever other rows of its id have."""
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, id_col, text_col, "quality", FIT_ROWS))
+    rows = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row"))
 
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = sent.value.score(_features(b.column(0).to_pylist()).astype(float)) >= least
+            yield b.select(["row"]).filter(pa.array(keep))
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows that aren't rejected, with all their columns. A row goes by its own text, whatever other rows of its id have."""
-    rows = common.texts(docs, id_col, text_col).withColumn("text_key", common.text_key("text"))
-    bad = _scored(rows, labels, id_col, "quality", FIT_ROWS).where(F.col("score") < least).select(F.col("id").alias("_rejected_id"), F.col("text_key").alias("_rejected_text"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_rejected_id")) & (F.col("_text") == F.col("_rejected_text"))
-    return docs.withColumn("_text", common.text_key(text_col)).join(bad, same, "left_anti").drop("_text")
+    return rows.mapInArrow(good, T.StructType([rows.schema["row"]])).select("row.*")

@@ -5,7 +5,8 @@ hash with odds in proportion to size, gives quantile boundaries; a record's rang
 Ranges that turn out to hold much more than their part are subdivided at quantiles of their own sample, until none is or
 the boundaries no longer split it. Byte totals of the ranges, a bounded list, are then added up, and prefix sums inside each range place
 every record on the line from 0 to the total; shards are equal parts of that line. Only ids, sizes and checksums are
-shuffled, and a text that fills a third of all rows is spread over many ranges by the hash of the id.
+shuffled, and a text that fills a third of all rows is spread over many ranges by the hash of the id (rows without an id by where they are read,
+which is fixed by a checkpoint).
 
 Built-in expressions only. Defined cases: a null text has size 16 and CRC-32 0 like an empty one; a null id sorts first
 within its key; repeated rows are records of their own. An empty table gives an empty result.
@@ -26,11 +27,13 @@ RANGES = 8
 #: Rows in a range, about, when there are many.
 RANGE_ROWS = 1 << 20
 MOST_RANGES = 1 << 14
+#: Times its part that a range may hold, besides its largest record. So fewer than a third of the ranges are ever subdivided.
+OVERFULL = 3
 
 
 def _position(crc: Column, id_: Column) -> Column:
-    """CRC-32 and 20 bits of the id's hash as one number below 2**52."""
-    return (crc * F.lit(1 << 20) + F.shiftrightunsigned(F.xxhash64(id_), 44)).cast("double")
+    """CRC-32 and 20 bits of the id's hash as one number below 2**52; rows with a null id are told apart by where they are read."""
+    return (crc * F.lit(1 << 20) + F.shiftrightunsigned(F.xxhash64(F.coalesce(id_, -F.monotonically_increasing_id())), 44)).cast("double")
 
 
 def _quantiles(df: DataFrame, rate: float, n: int) -> list[float]:
@@ -50,14 +53,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     n = min(MOST_RANGES, max(shards * RANGES, (count or 0) // RANGE_ROWS))
     inner = _quantiles(rows, SAMPLE * n / max(1, total or 0), n)
-    for _ in range(3):
+    while True:
         ranged = Bucketizer(splits=[float("-inf"), *(inner or [0.0]), float("inf")], inputCol="position", outputCol="range").transform(rows)
         sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.max("size").alias("top")).orderBy("range").collect()
-        over = [r["range"] for r in sums if r["bytes"] > 3 * total / n + r["top"]]
-        if not over or len(inner) > 2 * MOST_RANGES:
-            break
-        finer = _quantiles(ranged.where(F.col("range").isin(over)), 4 * SAMPLE * n / total, 4 * len(over) + 1)
-        if set(finer) <= set(inner):
+        over = [r["range"] for r in sums if r["bytes"] > OVERFULL * total / n + r["top"]]
+        finer = set(_quantiles(ranged.where(F.col("range").isin(over)), 4 * SAMPLE * n / total, 4 * len(over) + 1)) if over else set()
+        if finer <= set(inner):
             break
         inner = sorted({*inner, *finer})
 

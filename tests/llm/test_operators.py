@@ -74,25 +74,97 @@ def test_jaccard_join(spark, words, num):
         assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), want[i], n[i])
 
 
-def test_jaccard_groups_in_cells(spark, monkeypatch):
-    """Small limits: every region is large, groups are dealt into cells and cells are split by pivots."""
+def link_table(texts, words, num, den):
+    _, pairs = links(texts, words, num, den)
+    n = np.bincount(np.array(pairs, int).ravel(), minlength=len(texts))
+    return {i: (c, n[i]) for i, c in enumerate(brute_components(len(texts), pairs))}
+
+
+def edited(rng, base, most, times, name):
+    """Copies of a list of words with up to so many words replaced."""
+    out = []
+    for k in range(times):
+        w = list(base)
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(len(w))] = f"{name}{k}x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("case", "pivots"), [("dense", 1), ("both", 1), ("both", 1024)])
+def test_jaccard_regions_split_across_tasks(spark, monkeypatch, case, pivots):
+    """Small limits: regions are split by pivots over several levels, or cut into bands of which only some are compared."""
     rng = random.Random(5)
-    base = [f"w{i}" for i in range(80)]
     texts = []
-    for _ in range(150):
-        w = list(base)
-        for _ in range(rng.randrange(1, 4)):
-            w[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
-        texts.append(" ".join(w))
-    _, pairs = links(texts, 4, 85, 100)
-    monkeypatch.setattr(jaccard_join, "GROUP", 40)
+    if case != "spread":  # one family, all of which links or nearly so
+        texts += edited(rng, [f"w{i}" for i in range(80)], 3, 120, "d")
+    if case != "dense":  # families that lie next to each other: a common half, and near copies of each
+        for c in range(8):
+            base = [f"w{i}" for i in range(50)] + [f"c{c}w{i}" for i in range(30)]
+            texts += edited(rng, base, 4, 14, f"s{c}")
+    monkeypatch.setattr(jaccard_join, "GROUP", 24)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)  # shared shingles tie everything to one group
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_documents(docs_of(spark, texts), 4, 85, 100).collect()}
-    n = np.bincount(np.array(pairs, int).ravel(), minlength=len(texts))
-    assert got == {i: (c, n[i]) for i, c in enumerate(brute_components(len(texts), pairs))}
-    sets = [common.shingles(t, 4) for t in texts]
-    monkeypatch.setattr(jaccard_join, "CELL", 8)
-    i, j = jaccard_join._linked(sets, 85, 100)
-    assert sorted(zip(i.tolist(), j.tolist())) == pairs
+    assert got == link_table(texts, 4, 85, 100)
+
+
+def test_jaccard_hot_shingles(spark, monkeypatch):
+    """Very frequent shingles are dealt by row, and counts beyond a byte survive the sketch."""
+    monkeypatch.setattr(jaccard_join, "HOT", 300)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    rng = random.Random(4)
+    texts = ["all the same short words here " + f"t{rng.randrange(90)}" for _ in range(500)]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_documents(docs_of(spark, texts), 4, 60, 100).collect()}
+    assert got == link_table(texts, 4, 60, 100)
+    part, total = np.random.default_rng(1).integers(0, 400, jaccard_join.SLICE).astype(np.uint32), np.zeros(jaccard_join.SLICE, np.uint32)
+    for counts in (part, np.where(part < 380, 0, part).astype(np.uint32)):
+        jaccard_join._add_counts(total, jaccard_join._counts(counts))
+    assert (total == part + np.where(part < 380, 0, part)).all()
+
+
+def placed_rows(spark, texts, words, num, den):
+    rows = docs_of(spark, texts).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    profile = common.cut(rows.mapInPandas(jaccard_join._profiles(words, False), "id long, row binary, n long, key long, slice int, counts binary"))
+    classes = profile.where("slice = -1").groupBy("key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    return jaccard_join._placed(rows, profile, classes, words, num, den)
+
+
+def test_jaccard_regions_prune(spark, sf):
+    """On ordinary documents regions leave few comparisons, and blocks of a dense family are told by their bands."""
+    texts = [r.text for r in spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").select("text").collect()]
+    sizes = [r["count"] for r in placed_rows(spark, texts, 5, 80, 100).groupBy("region").count().collect()]
+    assert sum(n * n for n in sizes) < 0.02 * len(texts) ** 2 and any(n > 1 for n in sizes)
+    family = edited(random.Random(9), [f"w{i}" for i in range(300)], 2, 400, "f")
+    rows = placed_rows(spark, family, 4, 85, 100)
+    assert rows.groupBy("region").count().count() <= 400
+
+
+def test_jaccard_dense_families_shuffle_less_than_quadratically(spark, monkeypatch):
+    """Documents that are brought together for comparison, when a family of near copies grows fourfold."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 16)
+    met = []
+    old = jaccard_join._group
+
+    def counted(num, den):
+        task = old(num, den)
+
+        def run(rows):
+            seen.add(len(rows))
+            return task(rows)
+
+        return run
+
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(jaccard_join, "_group", counted)
+    for times in (100, 400):
+        before = seen.value
+        texts = edited(random.Random(9), [f"w{i}" for i in range(400)], 2, times, "f")
+        got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_documents(docs_of(spark, texts), 4, 85, 100).collect()}
+        assert got == link_table(texts, 4, 85, 100)
+        met.append(seen.value - before)
+    assert met[1] < 8 * max(met[0], 16)
 
 
 def test_jaccard_pivots_split_cells(monkeypatch):
@@ -124,7 +196,7 @@ def test_stages_decide_by_row(spark):
     docs = docs_of(spark, [words[0], near[0], words[1], near[1], words[2], near[2], "", " ", None], ids=[4, 5, 4, 6, None, None, None, 8, None])
     got = rows(jaccard_join.one_of_each(docs, 2, 80, 100).fillna("", ["text"]))
     assert [r for r in got if r[2] not in (words[2], near[2])] == sorted([(False, 4, words[0]), (False, 4, words[1]), (False, 8, " "), (True, 0, "")]) and len(got) == 5
-    # Blanks differ, and the longest text of the id that stays is kept.
+    # Texts that differ in blanks only: the longest stays.
     assert rows(exact_dedup.drop_duplicates(docs_of(spark, ["ab", "a b", "a  b", "c"], ids=[4, 4, 9, None]))) == [(False, 9, "a  b"), (True, 0, "c")]
     good, bad = "Some quiet words. " * 30, "!!! $$$ " * 40
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 400)], "doc_id long, quality int")
