@@ -383,10 +383,38 @@ def test_nearest(spark):
     assert exact[exact.query_id == 1020][["rank", "vec_id", "score"]].values.tolist() == [[1, 1040, 3.0]]
 
 
-def test_nearest_recall(spark, sf):
+def brute_nearest(ids, x, queries, k=20):
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    return {int(ids[q]): set(ids[np.argsort(-row, kind="stable")[:k]].tolist()) for q, row in zip(queries, scores)}
+
+
+def test_nearest_recall_over_shards(spark, sf):
+    """Recall against brute force over 8 shards or more, and how many shards a query visits."""
     df = spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet")
-    got, want = (nearest.nearest(df, F.col("id") % 20 == 0, 20, factor=f).select("query_id", "vec_id").toPandas() for f in (nearest.FACTOR, 1.0))
-    assert len(got.merge(want)) / len(want) >= 0.95
+    table = df.toPandas()
+    ids, x = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)
+    want = brute_nearest(ids, x, np.flatnonzero(ids % 20 == 0))
+    got = nearest.nearest(df, F.col("id") % 20 == 0, 20, shard_rows=200).toPandas()
+    assert sum(len(set(g.vec_id) & want[q]) for q, g in got.groupby("query_id")) / sum(map(len, want.values())) >= 0.999
+    rows = common.cut(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).mapInPandas(nearest._usable, "id long, dim int, v binary"))
+    _, visits = nearest._search(rows, F.col("id") % 20 == 0, 20, 1.0, 200)
+    shards = visits.select("region", "part").distinct().count()
+    assert shards >= 8 and visits.count() <= len(want) * shards
+
+
+def test_nearest_visits_few_shards_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 4
+    x = np.repeat(centres, 100, axis=0) + rng.normal(size=(1200, 16)) * 0.1
+    x[5] *= 50  # one long vector loosens the bound of its own shard only
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = brute_nearest(np.arange(1200), x, np.arange(0, 1200, 20))
+    got = nearest.nearest(df, F.col("id") % 20 == 0, 20, shard_rows=100).toPandas()
+    assert {q: set(g.vec_id) for q, g in got.groupby("query_id")} == want
+    rows = common.cut(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).mapInPandas(nearest._usable, "id long, dim int, v binary"))
+    _, visits = nearest._search(rows, F.col("id") % 20 == 0, 20, 1.0, 100)
+    assert visits.count() < 0.5 * len(want) * visits.select("region", "part").distinct().count()
 
 
 @pytest.mark.parametrize("longer", [1, 10, 1e4])
@@ -465,10 +493,42 @@ def test_url_rules_are_mined_and_matched(spark):
     mined = url_filter.mine(tokens).collect()
     everything = tokens.collect()
     for rule in mined:
-        fit = [r.unwanted for r in everything if set(rule.rule_tokens) <= set(r.tokens)]
+        fit = [r.unwanted for r in everything if all(set(x) & set(r.tokens) for x in rule["items"])]
         assert sum(fit) / len(fit) == pytest.approx(rule.confidence) and rule.confidence >= url_filter.CONFIDENCE
 
 
+def test_url_verdicts_match_all_itemsets(spark):
+    """Against every combination of tokens that has the support and the confidence, however long; some tokens always come together."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(160):
+        t = [x for x in "abcdef" if rng.random() < 0.45]
+        t += ["tw", "in"] if rng.random() < 0.5 else []
+        rows.append((i, "http://h.org/" + "/".join(t or ["z"]), ("a" in t and "tw" in t) or ("c" in t and "d" in t and rng.random() < 0.9) or rng.random() < 0.05))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, unwanted boolean")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, rules=(), support=0.03, confidence=0.8).collect()}
+    tokens = {r.page_id: frozenset(r.t) for r in pages.select("page_id", url_filter.tokens_of(F.col("url")).alias("t")).collect()}
+    every = sorted(set().union(*tokens.values()))
+    found = []
+    for n in range(1, 6):
+        for x in map(frozenset, itertools.combinations(every, n)):
+            fit = [r[2] for r in rows if x <= tokens[r[0]]]
+            if sum(fit) >= 0.03 * len(rows) and sum(fit) >= 0.8 * len(fit):
+                found.append(x)
+    assert got == {r[0]: "block" if any(x <= tokens[r[0]] for x in found) else "allow" for r in rows}
+
+
+def test_url_rules_of_sites_with_many_common_tokens(spark):
+    """Urls that share 25 path words: two to the power of 25 itemsets, of which one item is left."""
+    path = "/".join(f"x{chr(97 + k)}" for k in range(25))
+    rows = [(i, f"http://long.site/{path}/{'bad' if i % 3 else 'good'}{'qrs'[i % 2]}", bool(i % 3)) for i in range(60)] + [(i, f"http://s{chr(97 + i % 9)}.net/p", False) for i in range(60, 300)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, unwanted boolean")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, rules=()).collect()}
+    assert got == {r[0]: "block" if r[2] else "allow" for r in rows}
+
+
 def test_url_rule_of_four_tokens(spark):
     """Only all four tokens together are unwanted; any three of them are wanted as often."""
     four = ["aa", "bb", "cc"]
