@@ -7,7 +7,9 @@ is encoded once, with offsets. The spans of trained turns are sorted, and each t
 meet one are under the loss.
 
 Turns come sorted and stream through a task, so a conversation with very many turns needs no more memory than others: it is
-rendered in segments that end with a turn, which encode as the whole does.
+rendered in segments that end with a turn, which encode as the whole does. A conversation with more than LARGE characters, of which
+a ten-thousandth of all characters is the least, is cut at quantiles of its turns into chunks that are rendered and encoded by different tasks. Only
+:func:`read_back` brings such a conversation's turns and trained texts together again, as a digest of the whole has to be taken in order; they stream through a task.
 
 Defined cases: null texts and roles are empty. Turns are ordered by turn, role and text, nulls first; rows that repeat a turn are turns of their own. A null
 conv_id is one conversation. A conversation without trained turns has an empty mask. An empty table gives an empty result; other
@@ -34,10 +36,12 @@ CONTROL = (BEGIN, HEAD, TEXT, END)
 TRAINED = ("assistant",)
 #: Characters after which a segment ends with its turn.
 SEGMENT = 1 << 20
+#: Characters of a conversation that is cut into chunks, and chunks at most.
+LARGE, CHUNKS = 1 << 26, 256
 #: Rendered characters that are encoded together.
 TOGETHER = 1 << 22
 _TURN = re.compile(r"\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
-FORMATTED = "conv_id long, segment int, text string, ids binary, offsets binary, loss binary"
+FORMATTED = "conv_id long, chunk int, segment int, text string, ids binary, offsets binary, loss binary"
 
 
 def escape(s: str) -> str:
@@ -99,28 +103,28 @@ def _format(tokenizer: str, trained: tuple[str, ...]):
 
         def encoded() -> pd.DataFrame:
             rows = []
-            found = _tokenizer(tokenizer).encode_batch([w[2] for w in waiting], add_special_tokens=False)
-            for (conv, segment, text, spans), e in zip(waiting, found):
+            found = _tokenizer(tokenizer).encode_batch([w[3] for w in waiting], add_special_tokens=False)
+            for (conv, chunk, segment, text, spans), e in zip(waiting, found):
                 offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-                rows.append((conv, segment, text, np.array(e.ids, "<u4").tobytes(), offsets.tobytes(), mask(offsets, spans).tobytes()))
+                rows.append((conv, chunk, segment, text, np.array(e.ids, "<u4").tobytes(), offsets.tobytes(), mask(offsets, spans).tobytes()))
             waiting.clear()
-            return pd.DataFrame(rows, columns=["conv_id", "segment", "text", "ids", "offsets", "loss"])
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in FORMATTED.split(", ")])
 
-        conv, turns, segment, chars, started = None, [], 0, 0, False
+        part, turns, segment, chars = None, [], 0, 0
         for f in frames:
-            for id_, role, text in zip(f["conv_id"].tolist(), f["role"], f["text"]):
-                if started and (id_ != conv or chars > SEGMENT):
-                    waiting.append((conv, segment, *render(turns, segment == 0, trained)))
+            for id_, chunk, role, text in zip(f["conv_id"].tolist(), f["chunk"].tolist(), f["role"], f["text"]):
+                if part is not None and ((id_, chunk) != part or chars > SEGMENT):
+                    waiting.append((*part, segment, *render(turns, part[1] == segment == 0, trained)))
                     size += chars
-                    turns, segment, chars = [], segment + 1 if id_ == conv else 0, 0
+                    turns, segment, chars = [], segment + 1 if (id_, chunk) == part else 0, 0
                     if size > TOGETHER:
                         yield encoded()
                         size = 0
-                conv, started = id_, True
+                part = id_, chunk
                 turns.append((role or "", text or ""))
                 chars += len(role or "") + len(text or "") + 20
-        if started:
-            waiting.append((conv, segment, *render(turns, segment == 0, trained)))
+        if part is not None:
+            waiting.append((*part, segment, *render(turns, part[1] == segment == 0, trained)))
         if waiting:
             yield encoded()
 
@@ -128,16 +132,30 @@ def _format(tokenizer: str, trained: tuple[str, ...]):
 
 
 def format_conversations(conversations: DataFrame, tokenizer: str, trained: tuple[str, ...] = TRAINED) -> DataFrame:
-    """Rows of FORMATTED: rendered text, little-endian token ids (uint32), offsets (int32 start and end, in characters) and loss mask (a byte for each token).
+    """Rows of FORMATTED and whether the conversation was cut: rendered text, little-endian token ids (uint32), offsets (int32 start and end, in characters) and loss mask (a byte for each token).
 
-    Segments of a conversation follow one another within a partition. tokenizer: path of its file, on every executor.
+    Segments of a chunk follow one another within a partition. tokenizer: path of its file, on every executor.
     """
-    rows = conversations.select(common.sealed("conv_id").alias("conv_id"), "turn", "role", "text")
-    rows = rows.repartition(common.partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInPandas(_format(tokenizer, trained), FORMATTED).withColumn("conv_id", common.opened("conv_id"))
+    spark = conversations.sparkSession
+    rows = conversations.select(common.sealed("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    sizes = common.cut(rows.groupBy("conv_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 20).alias("chars"), F.count("*").alias("n")))
+    total = sizes.agg(F.sum("chars")).first()[0] or 0
+    large = sizes.where((F.col("chars") > max(LARGE, total // 10_000)) & (F.col("n") > 1))  # 10,000 at most
+    formatted = lambda x, *parts: x.repartition(common.partitions(spark), *parts).sortWithinPartitions("conv_id", "chunk", "turn", "role", "text").select("conv_id", "chunk", "role", "text").mapInPandas(_format(tokenizer, trained), FORMATTED)
+    if large.isEmpty():
+        out = formatted(rows.withColumn("chunk", F.lit(0)), "conv_id").withColumn("cut", F.lit(False))
+    else:
+        of = F.broadcast(large.select("conv_id"))
+        ends = rows.join(of, "conv_id").groupBy("conv_id").agg(F.percentile_approx("turn", [k / CHUNKS for k in range(1, CHUNKS)], 100 * CHUNKS).alias("ends"))
+        chunk = F.size(F.filter(F.array_distinct(F.coalesce("ends", F.array())), lambda x: x < F.col("turn")))
+        hot = rows.join(F.broadcast(common.cut(ends)), "conv_id").withColumn("chunk", F.coalesce(chunk, F.lit(0))).drop("ends")
+        cold = rows.join(of, "conv_id", "left_anti").withColumn("chunk", F.lit(0))
+        out = formatted(cold, "conv_id").withColumn("cut", F.lit(False)).unionByName(formatted(hot, "conv_id", "chunk").withColumn("cut", F.lit(True)))
+    return out.withColumn("conv_id", common.opened("conv_id"))
 
 
 _DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_DECODED = "conv_id long, chunk int, segment int, n_turns long, turns binary, loss_chars long, loss binary, formatted_chars long"
 
 
 def trained_text(text: str, offsets: np.ndarray, loss: np.ndarray) -> list[str]:
@@ -146,6 +164,17 @@ def trained_text(text: str, offsets: np.ndarray, loss: np.ndarray) -> list[str]:
     return [unescape(text[offsets[a, 0] : offsets[b - 1, 1]]) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a digest needs of each segment: turns and trained texts, read back from the text, the offsets and the mask."""
+    for f in frames:
+        rows = []
+        for conv, chunk, segment, text, offsets, loss in zip(f["conv_id"], f["chunk"], f["segment"], f["text"], f["offsets"], f["loss"]):
+            turns = turns_of(text)
+            said = "".join(trained_text(text, np.frombuffer(offsets, np.int32).reshape(-1, 2), np.frombuffer(loss, bool)))
+            rows.append((conv, chunk, segment, len(turns), "".join(f"{role}\n{t}\n" for role, t in turns).encode(), len(said), said.encode(), len(text)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DECODED.split(", ")])
+
+
 def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     state = None
 
@@ -158,18 +187,16 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for f in frames:
         done = []
-        for conv, segment, text, offsets, loss in zip(f["conv_id"], f["segment"], f["text"], f["offsets"], f["loss"]):
-            if segment == 0:
+        for conv, chunk, segment, n, turns, chars, loss, formatted in zip(*(f[c] for c in f)):
+            if chunk == segment == 0:
                 if state:
                     done.append(row())
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, said in turns_of(text):
-                state[1] += 1
-                state[2].update(f"{role}\n{said}\n".encode())
-            for said in trained_text(text, np.frombuffer(offsets, np.int32).reshape(-1, 2), np.frombuffer(loss, bool)):
-                state[3] += len(said)
-                state[4].update(said.encode())
-            state[5] += len(text)
+            state[1] += n
+            state[2].update(turns)
+            state[3] += chars
+            state[4].update(loss)
+            state[5] += formatted
         yield frame(done)
     if state:
         yield frame([row()])
@@ -177,7 +204,12 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """A row for each conversation, from the formatted rows alone: counts and digests of the turns and of what is under the mask."""
-    return formatted.withColumn("conv_id", common.sealed("conv_id")).mapInPandas(_digests, _DIGESTS).withColumn("conv_id", common.opened("conv_id"))
+    rows = formatted.withColumn("conv_id", common.sealed("conv_id"))
+    digests = lambda x: x.mapInPandas(_digests, _DIGESTS)
+    whole = digests(rows.where(~F.col("cut")).drop("cut").mapInPandas(_decoded, _DECODED))
+    parts = rows.where("cut").drop("cut").mapInPandas(_decoded, _DECODED)
+    parts = digests(parts.repartition(common.partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk", "segment"))
+    return common.cut(whole.union(parts)).withColumn("conv_id", common.opened("conv_id"))
 
 
 _ESCAPED = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>')"
