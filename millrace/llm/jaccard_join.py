@@ -3,11 +3,11 @@
 Jaccard distance is a metric; r is the largest distance of a link.
 
 1. *Pivots and Voronoi regions.* Sampled documents that lie apart are pivots, PIVOTS of them at most, and every document gets its distances to all pivots that it
-   shares a shingle with. A document whose nearest pivot is closer than 1 - 2r belongs to that pivot's region; all others form the *far* region, the last one.
-2. *Windows.* If x of pivot p's region links with y, then d(y, p) <= d(x, p) + r < 1 - r, and, since p is nearest to x, d(y, p) <= d(y, q) + 2r for
+   shares a shingle with. A document whose nearest pivot is within R (2r, if that is no more than 1 - 2r) belongs to that pivot's region; all others form the *far* region, the last one.
+2. *Windows.* If x of pivot p's region links with y, then d(y, p) <= d(x, p) + r <= R + r, and, since p is nearest to x, d(y, p) <= d(y, q) + 2r for
    the pivot q nearest to y. So documents within this window of a region that comes before their own are replicated to it as guests, and
    every linked pair meets in the earlier one of its two regions.
-3. *The far region.* Documents there are at nearly distance 1 from all pivots, where the triangle inequality of whole documents tells nothing, so
+3. *The far region.* Most documents there are at nearly distance 1 from all others, where the triangle inequality of whole documents tells nothing, so
    it is split by nested sets of shingles in one order for all documents (by how often a count sketch over the corpus has seen them, then by hash). The part of x
    that lies outside of y is a directed distance with a triangle inequality too: who is within k = size - ceil(bound * size) of x holds some of the first k + 1 shingles of x. Regions are those of single shingles,
    windows the first k + 1. Pairs that meet in a region are counted over all regions; what meets often enough to reach the bound is tied to one group, as are all documents
@@ -50,8 +50,8 @@ RANGE_ROWS = 1 << 20
 SMALL, HOT = 48, 1 << 18
 #: Documents of a region that one task joins, and members of all their sets.
 GROUP, MEMBERS = 1024, 1 << 22
-#: Pivots of a region that is split, and the share of comparisons that must remain for the split to count as none.
-SPLITS, STUCK = 16, 0.7
+#: Pivots of a region that is split; the share of comparisons, and the replication of documents, from which on the split counts as none.
+SPLITS, STUCK, COPIES = 16, 0.5, 1.5
 #: Bands of a dense region within the distance of a link.
 BANDS = 8
 #: Documents of a cell that are compared without further pivots, and pivots of a split within a task.
@@ -169,15 +169,20 @@ def _apart(sets: list[np.ndarray], least: float, central: bool = False) -> list[
     return out
 
 
+def _near(r: float) -> float:
+    """Radius of the regions of the first level. With 1 - 2r at most, whoever links with a document of a region shares shingles with its pivot."""
+    return min(2 * r, 1 - 2 * r) - EPS
+
+
 def _regions(i: np.ndarray, p: np.ndarray, d: np.ndarray, n: int, last: int, r: float, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home of each of n documents, guests, regions that they visit) from distances by document and pivot; home is ``last`` where no pivot is closer than ``near``."""
+    """(home of each of n documents, guests, regions that they visit) from distances by document and pivot; home is ``last`` where no pivot is as close as ``near``."""
     least = np.full(n, np.inf)
     np.minimum.at(least, i, d)
     home = np.full(n, last)
     nearest = d == least[i]
     np.minimum.at(home, i[nearest], p[nearest])
-    home[~(least < near)] = last
-    window = (p < home[i]) & (d <= np.minimum(least[i] + 2 * r, max(1 - r, 0) if near < 1 else 1.0) + EPS)
+    home[~(least <= near)] = last
+    window = (p < home[i]) & (d <= np.minimum(least[i] + 2 * r, near + r) + EPS)
     return home, i[window], p[window]
 
 
@@ -211,7 +216,7 @@ def _windows(words: int, num: int, den: int, ranges: int, sketch, pivots):
                     seen.add(key)
                     sets.append(h)
                     keys.append(key)
-            home, guest, visited = _regions(*index.near(sets), len(sets), last, r, 1 - 2 * r - EPS)
+            home, guest, visited = _regions(*index.near(sets), len(sets), last, r, _near(r))
             rows = [(f"p{home[k]}", keys[k], len(sets[k]), 0, sets[k].tobytes(), -1) for k in np.flatnonzero(home < last)]
             rows += [(f"p{p}", keys[k], len(sets[k]), 1, sets[k].tobytes(), -1) for k, p in zip(guest.tolist(), visited.tolist())]
             if rows:
@@ -446,8 +451,8 @@ def _small_and_dense(rows: DataFrame, num: int, den: int) -> tuple[DataFrame | N
         split = common.cut(_with_pivots(rows, pivots, _assign(num, den, 1 << depth), f"{_ROWS}, child string, a double"))
         children = split.groupBy("region", "child").agg(F.count("*").alias("rows"))
         whole = sizes.where(large).select("region", "size")
-        told = children.groupBy("region").agg(F.sum(F.col("rows") * F.col("rows")).alias("work"), F.max_by("child", "rows").alias("centre")).join(whole, "region")
-        told = common.cut(told.withColumn("stuck", F.col("work") > F.col("size") * F.col("size") * STUCK).withColumn("last", F.lit(depth == DEPTH - 1)))
+        told = children.groupBy("region").agg(F.sum(F.col("rows") * F.col("rows")).alias("work"), F.sum("rows").alias("all"), F.max_by("child", "rows").alias("centre")).join(whole, "region")
+        told = common.cut(told.withColumn("stuck", (F.col("work") > F.col("size") * F.col("size") * STUCK) | (F.col("all") > F.col("size") * COPIES)).withColumn("last", F.lit(depth == DEPTH - 1)))
         stuck = told.where("stuck or last")
         if not stuck.isEmpty():
             hard = common.join_by_size(rows.drop("size"), stuck.select("region", "size", "centre"), "region", "size", total)
@@ -511,7 +516,7 @@ def _placed(rows: DataFrame, profile: DataFrame, classes: DataFrame, words: int,
         if members + len(x["counts"]) // 8 <= PIVOT_MEMBERS:
             chosen.append(np.frombuffer(x["counts"], np.uint64))
             members += len(x["counts"]) // 8
-    chosen = [chosen[k] for k in _apart(chosen, min(4 * r, 1 - 2 * r))]  # pivots next to each other would share their regions' documents
+    chosen = [chosen[k] for k in _apart(chosen, _near(r) + r)]  # pivots next to each other would share their regions' documents
     n = F.col("n")
     total = profile.where("slice = -1").agg(F.sum(n - F.ceil(n * num / den) + 1)).first()[0] or 0
     ranges = int(total // RANGE_ROWS + 1)
