@@ -205,10 +205,9 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """A row for each conversation, from the formatted rows alone: counts and digests of the turns and of what is under the mask."""
     rows = formatted.withColumn("conv_id", common.sealed("conv_id"))
-    digests = lambda x: x.mapInPandas(_digests, _DIGESTS)
-    whole = digests(rows.where(~F.col("cut")).drop("cut").mapInPandas(_decoded, _DECODED))
+    whole = rows.where(~F.col("cut")).drop("cut").mapInPandas(lambda frames: _digests(_decoded(frames)), _DIGESTS)
     parts = rows.where("cut").drop("cut").mapInPandas(_decoded, _DECODED)
-    parts = digests(parts.repartition(common.partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk", "segment"))
+    parts = parts.repartition(common.partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk", "segment").mapInPandas(_digests, _DIGESTS)
     return common.cut(whole.union(parts)).withColumn("conv_id", common.opened("conv_id"))
 
 

@@ -56,6 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded rows for plans that run outside of :func:`cut`, with whatever settings the session has."""
+    for b in batches:
+        for low in range(0, max(1, b.num_rows), BATCH_ROWS):
+            yield b.slice(low, BATCH_ROWS)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` made and nothing needs any more."""
     spark = df.sparkSession
@@ -136,17 +143,9 @@ def sent_filter(keys: DataFrame, column: str, number: Callable = key_numbers):
             test.add(number(b.column(0).to_pylist()))
         yield pa.RecordBatch.from_pydict({"bits": [test.data.tobytes()]}, schema)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for x in b.column(0):
-                data |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_pydict({"bits": [data.tobytes()]}, schema)
-
     data = np.zeros(bits // 8, np.uint8)
-    if n:  # filters of a million keys each, 64 at most, of which eight reach the driver
-        filled = keys.select(column).repartition(max(1, n >> 20)).mapInArrow(fill, "bits binary")
-        for r in filled.coalesce(8).mapInArrow(merge, "bits binary").toLocalIterator():
+    if n:  # filters of a million keys each, 64 at most, which pass through the driver one by one
+        for r in keys.select(column).repartition(max(1, n >> 20)).mapInArrow(fill, "bits binary").toLocalIterator():
             data |= np.frombuffer(r["bits"], np.uint8)
     return spark.sparkContext.broadcast(data.tobytes()), bits
 
@@ -157,16 +156,17 @@ def kept_rows(docs: DataFrame, id_col: str, text_col: str, verdicts: DataFrame)
     Only rows whose key passes a filter of the verdicts' keys are shuffled; all others stay where they are. A row whose key has no verdict stays.
     """
     sent, bits = sent_filter(verdicts, "key")
-    keyed = docs.select(sealed(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    keyed = docs.select(sealed(id_col).alias("id"), F.struct("*").alias("row"))
+    place = docs.columns.index(text_col)
     schema = T.StructType([T.StructField("key", T.BinaryType()), keyed.schema["row"]])
 
     def part(through: bool) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = Filter(bits, np.frombuffer(sent.value, np.uint8))
-            for b in batches:
-                keys = [row_key(i, t or b"") for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            for b in sliced(batches):
+                keys = [row_key(i, t or b"") for i, t in zip(b.column(0).to_pylist(), b.column(1).field(place).cast(pa.binary()).to_pylist())]
                 may = test.has(key_numbers(keys)) if keys else np.empty(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(2)], ["key", "row"]).filter(pa.array(may == through))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(1)], ["key", "row"]).filter(pa.array(may == through))
 
         return keyed.mapInArrow(task, schema)
 

@@ -36,7 +36,7 @@ BLOCK = 4096
 #: Tokens at which attention costs as much as the linear part.
 SCALE = 1024
 #: Distinct words that a Python worker remembers before it starts afresh (about 200 bytes each).
-KNOWN = 1_500_000
+KNOWN = 1_000_000
 #: Marks that form one pre-token behind letters.
 _TAIL = b".,;:!?%$#&*"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

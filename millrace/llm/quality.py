@@ -20,7 +20,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.llm import common
 
@@ -151,12 +150,11 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     sent = spark.sparkContext.broadcast(np.array(sorted(y), np.int64))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Statistics of the sample's rows."""
         ids = pa.array(sent.value)
-        for b in batches:
-            yield b.filter(pc.is_in(b.column(0), ids))
+        return _statistics(b.filter(pc.is_in(b.column(0), ids)) for b in batches)
 
-    rows = common.texts(docs, id_col, text_col)
-    x = rows.mapInArrow(chosen, rows.schema).mapInArrow(_statistics, "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
+    x = common.texts(docs, id_col, text_col).mapInArrow(chosen, "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
     with common.small_batches(spark):
         x = {r["id"]: r["x"] for r in x.collect()}  # a row for each id of the sample at most
     ids = [r["id"] for r in sample if r["id"] in x]
@@ -179,11 +177,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows that aren't rejected, with all their columns, filtered where they are read. A row goes by its own text, whatever other rows of its id have."""
     sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, id_col, text_col, "quality", FIT_ROWS))
-    rows = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    rows, place = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = sent.value.score(_features(b.column(0).to_pylist()).astype(float)) >= least
-            yield b.select(["row"]).filter(pa.array(keep))
+        for b in common.sliced(batches):
+            keep = sent.value.score(_features(b.column(0).field(place).to_pylist()).astype(float)) >= least
+            yield b.filter(pa.array(keep))
 
-    return rows.mapInArrow(good, T.StructType([rows.schema["row"]])).select("row.*")
+    return rows.mapInArrow(good, rows.schema).select("row.*")
