@@ -8,19 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from millrace.llm import common, exact_dedup, jaccard_join, mixing, packing, quality
 from millrace.llm.queries import tokenizer_path
 
 
+def settings(spark: SparkSession) -> None:
+    """This job's own: a stage's result runs when it is written, and texts should reach Python in small batches then too."""
+    for name, value in (("maxRecordsPerBatch", common.BATCH_ROWS), ("maxBytesPerBatch", common.BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settings(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settings(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settings(spark)
     return jaccard_join.one_of_each(docs, words=5, num=80, den=100)
 
 
