@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,13 +35,37 @@ def call(function: Callable, row: dict, retry: Retry = Retry(), sleep: Callable[
 
 
 def enrich(df: DataFrame, function: Callable[[dict], list[dict]], schema: str, concurrency: int = 16, retry: Retry = Retry(), timeout_s: float | None = None) -> DataFrame:
-    """Rows that the function gives for each row, in any order across rows; a task has at most ``concurrency`` calls open. A task that runs again calls again: at least once."""
+    """Rows that the function gives for each row, in any order across rows; a task has at most ``concurrency`` calls open. A task that runs again calls again: at least once.
+
+    timeout_s: how long a call may take, all its attempts together, from when it starts. Then the task fails at once with TimeoutError and
+    doesn't wait for the call; calls that haven't started are cancelled.
+    """
     names = [c.name for c in df.sparkSession.createDataFrame([], schema).schema]
 
+    def timed(started: dict, k: int, row: dict):
+        started[k] = time.monotonic()
+        return call(function, row, retry)
+
+    def result(f: Future, started: dict, k: int):
+        while timeout_s is not None:
+            left = timeout_s if k not in started else started[k] + timeout_s - time.monotonic()
+            if left <= 0 and not f.done():
+                raise TimeoutError(f"a call took more than {timeout_s} s")
+            try:
+                return f.result(max(left, 0.0))
+            except FutureTimeout:
+                if f.done():  # the call's own error
+                    raise
+        return f.result()
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(concurrency) as pool:
+        pool = ThreadPoolExecutor(concurrency)
+        try:
             for frame in frames:
-                found = [pool.submit(call, function, row, retry) for row in frame.to_dict("records")]
-                yield pd.DataFrame([out for f in found for out in f.result(timeout_s)], columns=names)
+                started: dict[int, float] = {}
+                found = [pool.submit(timed, started, k, row) for k, row in enumerate(frame.to_dict("records"))]
+                yield pd.DataFrame([out for k, f in enumerate(found) for out in result(f, started, k)], columns=names)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     return df.mapInPandas(task, schema)

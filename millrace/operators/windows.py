@@ -34,6 +34,11 @@ class Tumbling:
         start = F.col(time) - F.pmod(F.col(time) - self.offset, F.lit(self.size))
         return df.withColumn("window_start", start).withColumn("window_end", F.col("window_start") + self.size)
 
+    def of(self, time: int) -> list[tuple[int, int]]:
+        """Windows that hold a time."""
+        start = time - (time - self.offset) % self.size
+        return [(start, start + self.size)]
+
 
 @dataclass(frozen=True)
 class Sliding:
@@ -52,6 +57,10 @@ class Sliding:
         starts = F.filter(starts, lambda s: s > F.col(time) - self.size)
         return df.withColumn("window_start", F.explode(starts)).withColumn("window_end", F.col("window_start") + self.size)
 
+    def of(self, time: int) -> list[tuple[int, int]]:
+        last = time - (time - self.offset) % self.slide
+        return [(s, s + self.size) for s in range(last, time - self.size, -self.slide)]
+
 
 @dataclass(frozen=True)
 class Session:
@@ -64,6 +73,20 @@ class Session:
         if self.gap <= 0:
             raise ValueError("gap must be positive")
 
+    def of(self, time: int) -> list[tuple[int, int]]:
+        return [(time, time + self.gap)]
+
+    def assign(self, df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
+        """Rows with their session's window. A key's rows are sorted together, as sessions demand, but not held."""
+        if not self.merge:
+            return df.withColumn("window_start", F.col(time)).withColumn("window_end", F.col(time) + self.gap)
+        earlier = Window.partitionBy(*keys).orderBy(time)
+        fresh = F.coalesce(F.col(time) - F.lag(time).over(earlier) > self.gap, F.lit(True)).cast("int")
+        rows = df.withColumn("_fresh", fresh).withColumn("_session", F.sum("_fresh").over(earlier))
+        own = Window.partitionBy(*keys, "_session")
+        rows = rows.withColumn("window_start", F.min(time).over(own)).withColumn("window_end", F.max(time).over(own) + self.gap)
+        return rows.drop("_fresh", "_session")
+
     def aggregate(self, df: DataFrame, keys: Sequence[str], time: str, *aggregates: Column) -> DataFrame:
         if not self.merge:
             return df.groupBy(*keys, F.col(time).alias("window_start"), (F.col(time) + self.gap).alias("window_end")).agg(*aggregates)
@@ -79,6 +102,14 @@ class Global:
     def assign(self, df: DataFrame, time: str) -> DataFrame:
         return df.withColumn("window_start", F.lit(-(1 << 63)).cast("long")).withColumn("window_end", F.lit((1 << 63) - 1).cast("long"))
 
+    def of(self, time: int) -> list[tuple[int, int]]:
+        return [(-(1 << 63), (1 << 63) - 1)]
+
+
+def assigned(df: DataFrame, assigner, keys: Sequence[str], time: str) -> DataFrame:
+    """Rows with window_start and window_end, once for each of their windows."""
+    return assigner.assign(df, time, keys) if isinstance(assigner, Session) else assigner.assign(df, time)
+
 
 def aggregate(df: DataFrame, assigner, keys: Sequence[str], time: str, *aggregates: Column) -> DataFrame:
     """keys, window_start, window_end and the aggregates."""

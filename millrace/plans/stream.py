@@ -134,26 +134,47 @@ class Windowed:
         """
         s, keys = self.keyed.stream, self.keyed.keys
         if s.df.isStreaming:
-            stamped = s.df.withColumn("_ts", F.timestamp_millis(F.col(s.time))).withWatermark("_ts", f"{s.delay} milliseconds")
-            if isinstance(self.assigner, windows.Session):
-                w = F.session_window("_ts", f"{self.assigner.gap} milliseconds")
-            else:
-                slide = getattr(self.assigner, "slide", self.assigner.size)
-                w = F.window("_ts", f"{self.assigner.size} milliseconds", f"{slide} milliseconds", f"{self.assigner.offset} milliseconds")
-            out = stamped.groupBy(*keys, w.alias("w")).agg(*aggregates)
-            own = [c for c in out.columns if c not in (*keys, "w")]
-            out = out.select(*keys, F.unix_millis("w.start").alias("window_start"), F.unix_millis("w.end").alias("window_end"), *own)
+            out = self._native(s.df.withColumn("_ts", F.timestamp_millis(F.col(s.time))).withWatermark("_ts", f"{s.delay} milliseconds"), keys, aggregates)
         else:
             out = windows.aggregate(self._rows(), self.assigner, keys, s.time, *aggregates)
         return Stream(out.withColumn("time", F.col("window_end") - 1), "time", s.delay)
 
+    def _native(self, stamped: DataFrame, keys: tuple[str, ...], aggregates: Sequence[Column]) -> DataFrame:
+        """The engine's own streaming windows, and those that it lacks by way of them."""
+        a = self.assigner
+        start, end = F.unix_millis("w.start"), F.unix_millis("w.end")
+        if isinstance(a, windows.Global):  # emits in complete and update mode; see streaming.state.windowed for triggers and the end of input
+            out = stamped.groupBy(*keys).agg(*aggregates)
+            own = [c for c in out.columns if c not in keys]
+            return windows.Global().assign(out, self.keyed.stream.time).select(*keys, "window_start", "window_end", *own)
+        if isinstance(a, windows.Session) and not a.merge:  # every time is a window of its own
+            w, start, end = F.col("_ts"), F.unix_millis("w"), F.unix_millis("w") + a.gap
+        elif isinstance(a, windows.Session):
+            w = F.session_window("_ts", f"{a.gap} milliseconds")
+        elif getattr(a, "slide", a.size) > a.size:  # gaps: the first part of tumbling windows as long as the slide
+            at = F.pmod(F.unix_millis("_ts") - a.offset, F.lit(a.slide))
+            stamped, w, end = stamped.where(at < a.size), F.window("_ts", f"{a.slide} milliseconds", f"{a.slide} milliseconds", f"{a.offset % a.slide} milliseconds"), start + a.size
+        else:
+            slide = getattr(a, "slide", a.size)
+            w = F.window("_ts", f"{a.size} milliseconds", f"{slide} milliseconds", f"{a.offset % slide} milliseconds")
+        out = stamped.groupBy(*keys, w.alias("w")).agg(*aggregates)
+        own = [c for c in out.columns if c not in (*keys, "w")]
+        return out.select(*keys, start.alias("window_start"), end.alias("window_end"), *own)
+
+    def accumulate(self, column: str, acc: reduce.Accumulator, result_type: str, name: str = "result") -> Stream:
+        """A user's aggregate for each window of bounded input: keys, window_start, window_end, the result and time. Streams: streaming.state.windowed."""
+        s, keys = self.keyed.stream, self.keyed.keys
+        rows = windows.assigned(self._rows(), self.assigner, keys, s.time)
+        out = reduce.accumulate(rows, [*keys, "window_start", "window_end"], column, acc, result_type, name)
+        return Stream(out.withColumn("time", F.col("window_end") - 1), "time", s.delay)
+
     def reduce(self, column: str, function: str, name: str | None = None) -> Stream:
         return self.aggregate(reduce.NAMED[function](column).alias(name or column))
 
     def apply(self, f: Callable[[tuple, int, int, pd.DataFrame], pd.DataFrame], schema: str) -> Stream:
         """f(key, window_start, window_end, rows in no order) for each window; a window's rows are held together."""
-        rows = self.assigner.assign(self._rows(), self.keyed.stream.time)
         keys = self.keyed.keys
+        rows = windows.assigned(self._rows(), self.assigner, keys, self.keyed.stream.time)
 
         def task(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             return f(group[: len(keys)], int(group[-2]), int(group[-1]), frame.drop(columns=["window_start", "window_end"]))

@@ -16,6 +16,7 @@ from millrace.operators.relational import Aggregate
 from millrace.plans import jobspec, nexmark
 from millrace.plans.sql import SqlContext
 from millrace.session import CONF, Env, ship
+from millrace.sources import nexmark as generator
 from millrace.sources.snapshot_table import SnapshotTable, TwoPhaseSink
 from millrace.streaming import runs, state
 
@@ -62,7 +63,10 @@ def cents(c: str) -> F.Column:
 
 def scratch(spark: SparkSession) -> str:
     """A folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    root = root or tempfile.mkdtemp(prefix="millrace-")
     return f"{root}/{uuid.uuid4().hex}"
 
 
@@ -92,9 +96,15 @@ def src_partition_assignment(spark, sf_dir):
     return relational.assigned_partitions(rows, 3, 1, "l_linenumber")
 
 
-@query("select event_id, value from events where value > 400 and event_type = 'purchase'")
+@query("select event_id, value from events where value > 20 and event_type = 'purchase'")
 def flt_where(spark, sf_dir):
-    return relational.where(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), F.col("value") > 400, F.col("event_type") == "purchase").select("event_id", "value")
+    return relational.where(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), F.col("value") > 20, F.col("event_type") == "purchase").select("event_id", "value")
+
+
+@query("select event_id, value from events where value > 20 and value < 60 and event_type <> 'purchase' and user_id % 2 = 0")
+def flt_all_conditions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "value", "event_type", "user_id")
+    return relational.where(rows, F.col("value") > 20, F.col("value") < 60, F.col("event_type") != "purchase", F.col("user_id") % 2 == 0).select("event_id", "value")
 
 
 @query("select event_id, v from (select event_id, case when event_id % 5 = 0 then null else value end as v from events) where v < 100")
@@ -167,8 +177,10 @@ def _no_nulls(df: DataFrame, *names: str) -> DataFrame:
 
 def _join(how: str, null_safe: bool = False):
     def run(spark, sf_dir):
-        build_side = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name")
-        probe = table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select("o_custkey", "o_orderkey", "o_totalprice")
+        build_side = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+        # Some orders get a key that no customer has, so that both sides have rows without a partner.
+        key = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 100_000_000).otherwise(F.col("o_custkey")).alias("o_custkey")
+        probe = table(spark, sf_dir, "orders").select(key, "o_orderkey", "o_totalprice")
         return _no_nulls(relational.hash_join(build_side, probe, [0], [0], how, null_safe), "c_custkey", "o_custkey", "o_orderkey")
 
     return run
@@ -177,7 +189,7 @@ def _join(how: str, null_safe: bool = False):
 for _how in relational.JOINS:
     _f = _join(_how)
     _f.__name__ = f"jn_{_how}"
-    query(f"select coalesce(c_custkey, -1) as c_custkey, c_name, coalesce(o_custkey, -1) as o_custkey, coalesce(o_orderkey, -1) as o_orderkey, o_totalprice from (select * from customer where c_custkey % 3 <> 0) {_how} join (select * from orders where o_custkey % 5 <> 0) on c_custkey = o_custkey")(_f)
+    query(f"select coalesce(c_custkey, -1) as c_custkey, c_name, coalesce(o_custkey, -1) as o_custkey, coalesce(o_orderkey, -1) as o_orderkey, o_totalprice from customer {_how} join (select case when o_orderkey % 5 = 0 then o_custkey + 100000000 else o_custkey end as o_custkey, o_orderkey, o_totalprice from orders) on c_custkey = o_custkey")(_f)
 
 
 @query("select coalesce(a.k, -1) as k, a.t, b.u from (select distinct nullif(user_id % 7, 0) as k, event_type as t from events) a join (select nullif(user_id % 7, 0) as k2, count(*) as u from events group by 1) b on a.k is not distinct from b.k2")
@@ -364,6 +376,28 @@ def wn_apply(spark, sf_dir):
     return s.key_by("event_type").window(windows.Tumbling(DAY)).apply(_spread, "event_type string, window_start long, spread double").df
 
 
+_SESSIONS = f"with g as (select *, case when ms - lag(ms) over (partition by user_id order by ms, event_id) <= {DAY} then 0 else 1 end as fresh from ({_MS})), s as (select *, sum(fresh) over (partition by user_id order by ms, event_id rows unbounded preceding) as session from g)"
+
+
+@query(f"{_SESSIONS} select user_id, min(ms) as window_start, max(ms) + {DAY} as window_end, max(value) - min(value) as spread from s group by user_id, session")
+def wn_session_apply(spark, sf_dir):
+    """A function over each session's rows."""
+    s = Env(spark, "apply").from_dataframe(events(spark, sf_dir)).assign_timestamps_and_watermarks("ms", 0)
+    return s.key_by("user_id").window(windows.Session(DAY)).apply(_session_spread, "user_id long, window_start long, window_end long, spread double").df
+
+
+def _session_spread(key, start, end, rows):
+    import pandas as pd
+
+    return pd.DataFrame({"user_id": [key[0]], "window_start": [start], "window_end": [end], "spread": [rows["value"].max() - rows["value"].min()]})
+
+
+@query(f"select event_type, window_start, window_start + {DAY} as window_end, window_start + {DAY} - 1 as time, (max(event_id) - min(event_id)) * 1000 + count(*) as result from (select *, ms - ms % {DAY} as window_start from ({_MS})) group by event_type, window_start")
+def wn_user_aggregate(spark, sf_dir):
+    s = Env(spark, "accumulate").from_dataframe(events(spark, sf_dir)).assign_timestamps_and_watermarks("ms", 0)
+    return s.key_by("event_type").window(windows.Tumbling(DAY)).accumulate("event_id", Spread(), "long").df
+
+
 def _spread(key, start, end, rows):
     import pandas as pd
 
@@ -461,6 +495,192 @@ def st_stream_windows(spark, sf_dir):
     return runs.run_to_end(plan, scratch(spark), "complete")[0]
 
 
+def _in_parts(spark, rows, order, parts, end=None):
+    """The rows as a stream of files in this order, one for each micro-batch."""
+    folder = scratch(spark)
+    n = rows.count()
+    runs.write_parts(rows, order, [n * k // parts for k in range(1, parts)], folder, end)
+    return runs.read_parts(spark, ", ".join(f"{c} {t}" for c, t in rows.dtypes), folder)
+
+
+def _native(spark, sf_dir, assigner, key="event_type"):
+    """Windows of a stream in append mode, closed by a mark at the end of input."""
+    rows = _in_parts(spark, events(spark, sf_dir).select("event_id", key, "value", "ms"), ["ms", "event_id"], 2, "ms")
+    s = Env(spark, "append").from_dataframe(rows).assign_timestamps_and_watermarks("ms", 0)
+    plan = s.key_by(key).window(assigner).aggregate(F.count("*").alias("n"), F.sum(cents("value")).alias("cents")).df.select(key, "window_start", "window_end", "n", "cents")
+    return runs.run_to_end(plan, scratch(spark))[0].where(F.col(key).isNotNull())  # the mark has no key
+
+
+@query(f"select event_type, ms - ms % {DAY} as window_start, ms - ms % {DAY} + {DAY} as window_end, {_W} from ({_MS}) group by all")
+def st_tumbling_to_the_end(spark, sf_dir):
+    return _native(spark, sf_dir, windows.Tumbling(DAY))
+
+
+@query(f"select event_type, ms - ms % {2 * DAY} as window_start, ms - ms % {2 * DAY} + {DAY} as window_end, {_W} from ({_MS}) where ms % {2 * DAY} < {DAY} group by all")
+def st_sliding_with_gaps(spark, sf_dir):
+    return _native(spark, sf_dir, windows.Sliding(DAY, 2 * DAY))
+
+
+@query(f"{_SESSIONS} select user_id, min(ms) as window_start, max(ms) + {DAY} as window_end, {_W} from s group by user_id, session")
+def st_sessions(spark, sf_dir):
+    return _native(spark, sf_dir, windows.Session(DAY), "user_id")
+
+
+@query(f"select user_id, ms as window_start, ms + {DAY} as window_end, {_W} from ({_MS}) group by all")
+def st_sessions_unmerged(spark, sf_dir):
+    return _native(spark, sf_dir, windows.Session(DAY, merge=False), "user_id")
+
+
+@query(f"select event_type, cast(-9223372036854775808 as bigint) as window_start, 9223372036854775807 as window_end, count(*) as n from events group by 1")
+def st_global(spark, sf_dir):
+    """One window for all time, in complete mode."""
+    s = Env(spark, "global").from_dataframe(_event_stream(spark, sf_dir)).assign_timestamps_and_watermarks("ms", 0)
+    plan = s.key_by("event_type").window(windows.Global()).aggregate(F.count("*").alias("n")).df.select("event_type", "window_start", "window_end", "n")
+    return runs.run_to_end(plan, scratch(spark), "complete")[0]
+
+
+class Total(reduce.Accumulator):
+    def create(self):
+        return 0
+
+    def add(self, acc, value):
+        return acc + value
+
+    def merge(self, a, b):
+        return a + b
+
+    def result(self, acc):
+        return acc
+
+
+def _by_element(spark, sf_dir, assigner, trigger=None, flush=True, rows=None, delay=0, **more):
+    """Element-wise windows of a stream by user: what fired while it ran and, at the end of input, what was still open."""
+    _stateful(spark)
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ms") if rows is None else rows
+    stream = _in_parts(spark, rows, [rows.columns[-1], "event_id"], 2)
+    checkpoint = scratch(spark)
+    plan = state.windowed(stream, ["user_id"], "ms", "event_id", assigner, Total(), "long", delay, trigger, **more)
+    out = runs.run_to_end(plan, checkpoint)[0]
+    return out.union(state.still_open(spark, checkpoint, ["user_id"], Total(), "long")) if flush else out
+
+
+@query(f"select user_id, ms - ms % {DAY} as window_start, ms - ms % {DAY} + {DAY} as window_end, ms - ms % {DAY} + {DAY} - 1 as time, cast(sum(event_id) as bigint) as result from ({_MS}) group by all")
+def st_windows_by_element(spark, sf_dir):
+    return _by_element(spark, sf_dir, windows.Tumbling(DAY))
+
+
+@query(f"{_SESSIONS} select user_id, min(ms) as window_start, max(ms) + {DAY} as window_end, max(ms) + {DAY} - 1 as time, cast(sum(event_id) as bigint) as result from s group by user_id, session")
+def st_sessions_by_element(spark, sf_dir):
+    return _by_element(spark, sf_dir, windows.Session(DAY))
+
+
+@query(f"select user_id, cast(-9223372036854775808 as bigint) as window_start, 9223372036854775807 as window_end, 9223372036854775806 as time, cast(sum(event_id) as bigint) as result from events group by 1")
+def st_global_at_the_end(spark, sf_dir):
+    return _by_element(spark, sf_dir, windows.Global())
+
+
+@query(f"select user_id, cast(-9223372036854775808 as bigint) as window_start, 9223372036854775807 as window_end, 9223372036854775806 as time, cast(sum(event_id) as bigint) as result from (select *, (row_number() over (partition by user_id order by ms, event_id) - 1) // 3 as third from ({_MS})) group by user_id, third having count(*) = 3")
+def st_count_trigger(spark, sf_dir):
+    """A result for every three rows of a user."""
+    return _by_element(spark, sf_dir, windows.Global(), state.Count(3), flush=False)
+
+
+@query(f"select user_id, ms - ms % {DAY} as window_start, ms - ms % {DAY} + {DAY} as window_end, ms - ms % {DAY} + {DAY} - 1 as time, cast(sum(event_id) as bigint) as result from (select *, max(ms) over (partition by user_id order by arr, event_id rows between unbounded preceding and 1 preceding) as seen from ({_LATE})) where seen is null or ms > seen - {HOUR} group by all")
+def st_late_by_element(spark, sf_dir):
+    """Rows out of order: those an hour or more behind their user's latest are dropped, one by one."""
+    rows = arrivals(spark, sf_dir).select("event_id", "user_id", "ms", "arr")
+    return _by_element(spark, sf_dir, windows.Tumbling(DAY), rows=rows, delay=HOUR)
+
+
+@query("select event_type, cast(sum(event_id) over (partition by event_type order by event_id rows unbounded preceding) as bigint) as value from events")
+def st_running_values(spark, sf_dir):
+    """Keyed state: the sum after each row, every one of them."""
+    _stateful(spark)
+    rows = _in_parts(spark, table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], 2)
+    plan = state.running_reduce(rows, "event_type", "event_id", lambda a, b: a + b, "string", "long")
+    return runs.run_to_end(plan, scratch(spark))[0]
+
+
+def _last_three(k, row, c):
+    kept = [*c.items("last"), row["event_id"]][-3:]
+    c.clear("last")
+    for x in kept:
+        c.append("last", x)
+    c.put("by", row["user_id"] % 4, (c.lookup("by", row["user_id"] % 4) or 0) + 1)
+    c.collect(k, row["event_id"], sum(kept), c.lookup("by", row["user_id"] % 4))
+
+
+@query("select event_type, event_id, cast(sum(event_id) over (partition by event_type order by event_id rows between 2 preceding and current row) as bigint) as last_three, count(*) over (partition by event_type, user_id % 4 order by event_id rows unbounded preceding) as n from events")
+def st_list_and_map_state(spark, sf_dir):
+    _stateful(spark)
+    rows = _in_parts(spark, table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), ["event_id"], 2)
+    plan = state.process(rows, "event_type", state.Keyed(_last_three, lists={"last": "long"}, maps={"by": ("long", "long")}), "event_type string, event_id long, last_three long, n long")
+    return runs.run_to_end(plan, scratch(spark))[0]
+
+
+def _remind(k, row, c):
+    if row["event_id"] is not None:
+        c.register_timer(row["ms"] + HOUR)
+
+
+def _ring(k, at, c):
+    c.collect(k, at)
+
+
+@query(f"select user_id, cast(ms + {HOUR} as bigint) as rings from ({_MS}) group by all")
+def st_timers(spark, sf_dir):
+    """A timer an hour after each event; the mark at the end of input lets the last ones ring."""
+    _stateful(spark)
+    rows = _in_parts(spark, events(spark, sf_dir).select("event_id", "user_id", "ms"), ["ms", "event_id"], 2, "ms")
+    rows = rows.withColumn("_ts", F.timestamp_millis("ms")).withWatermark("_ts", "0 seconds")
+    plan = state.process(rows, "user_id", state.Keyed(_remind, _ring), "user_id long, rings long", "EventTime")
+    return runs.run_to_end(plan, scratch(spark))[0]
+
+
+@query("select event_id, event_id + 1000000 as v from events where event_id % 3 = 0")
+def snk_after_a_crash(spark, sf_dir):
+    """An epoch is prepared by one sink and committed by another that is made anew."""
+    t = SnapshotTable(spark, scratch(spark), "db", "t").create("event_id bigint, v bigint")
+    sink = TwoPhaseSink(t)
+    sink.begin()
+    sink.write(table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", (F.col("event_id") + 1_000_000).alias("v")))
+    sink.pre_commit(1)
+    TwoPhaseSink(t).commit(1)
+    return t.scan()
+
+
+@query("select * from (values ('hello', 2), ('world', 1)) t(word, n)")
+def src_from_iter(spark, sf_dir):
+    s = Env(spark, "iter").from_iter([("hello world",), ("hello",)], "line string")
+    return s.flat_map(F.split("line", " "), "word").map("word").key_by("word").reduce("word", "count", "n").df
+
+
+@query("select c_custkey, c_name, o_orderkey from customer join orders on c_custkey = o_custkey")
+def job_join_from_json(spark, sf_dir):
+    left, right = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return jobspec.run(left, '{"type": "hash_join", "join_type": "Inner", "build_key_cols": [0], "probe_key_cols": [0]}', right).select("c_custkey", "c_name", "o_orderkey")
+
+
+@query("select n as seq, case when n % 50 = 0 then 'person' when n % 50 < 4 then 'auction' else 'bid' end as kind, n + 1 as ts, case when n % 50 = 0 then n // 50 + 1 end as person_id from range(0, 5000) r(n)")
+def src_nexmark(spark, sf_dir):
+    """The generator's kinds, times and dense ids."""
+    return generator.events(spark, 5000).select("seq", "kind", "ts", F.col("person.id").alias("person_id"))
+
+
+@query("select user_id, n from (select user_id, count(*) as n from events group by 1) order by n desc, user_id limit 10")
+def sql_top_users(spark, sf_dir):
+    c = SqlContext(spark)
+    c.register("millrace_e", table(spark, sf_dir, "events"))
+    return c.sql("select user_id, count(*) as n from millrace_e group by user_id order by n desc, user_id limit 10")
+
+
+@query("select user_id from events where event_type = 'purchase' intersect select user_id from events where event_type <> 'purchase'")
+def sql_set_operations(spark, sf_dir):
+    c = SqlContext(spark)
+    c.register("millrace_e", table(spark, sf_dir, "events"))
+    return c.sql("select user_id from millrace_e where event_type = 'purchase' intersect select user_id from millrace_e where event_type <> 'purchase'")
+
+
 def _stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", CONF["spark.sql.streaming.stateStore.providerClass"])
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHANNELS = ("web", "mobile", "app", "api", "partner")
+CHANNELS = ("phone", "desk", "kiosk", "agent", "feed")
 CATEGORIES = 20
 
 

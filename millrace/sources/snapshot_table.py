@@ -73,14 +73,30 @@ class SnapshotTable:
 
 
 class TwoPhaseSink:
-    """open a transaction, write batches, pre-commit under a rising epoch, then commit or abort."""
+    """open a transaction, write batches, pre-commit under a rising epoch, then commit or abort.
+
+    A prepared epoch is a file that names its folders, so a sink that is made anew after a crash finds it and can commit or abort it.
+    """
 
     guarantee = "two_phase_commit"
 
     def __init__(self, table: SnapshotTable):
         self.table = table
-        self.pending: dict[int, list[str]] = {}
         self.open: list[str] | None = None
+        self.pending: dict[int, list[str]] = {e: json.loads(table._read(self._file(e))) for e in self._prepared()}
+
+    def _file(self, epoch: int) -> str:
+        return f"{self.table.root}/prepared/{epoch}"
+
+    def _prepared(self) -> list[int]:
+        folder = self.table._path(f"{self.table.root}/prepared")
+        if not self.table.fs.exists(folder):
+            self.table.fs.mkdirs(folder)
+        names = [f.getPath().getName() for f in self.table.fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _done(self, epoch: int) -> None:
+        self.table.fs.delete(self.table._path(self._file(epoch)), False)
 
     def begin(self) -> None:
         if self.open is not None:
@@ -99,19 +115,23 @@ class TwoPhaseSink:
             raise RuntimeError("no transaction is open")
         if epoch <= max([self.table.manifest()["epoch"], *self.pending]):
             raise ValueError(f"epoch {epoch} doesn't rise")
+        self.table._write(self._file(epoch), json.dumps(self.open), new=True)
         self.pending[epoch], self.open = self.open, None
 
     def commit(self, up_to: int) -> list[int]:
         """Publish all prepared epochs up to this one, in order."""
         done = [e for e in sorted(self.pending) if e <= up_to]
-        for e in done:
+        for e in done:  # a crash in between publishes an epoch that is in already, which does nothing
             self.table.publish(e, self.pending.pop(e))
+            self._done(e)
         return done
 
     def abort(self) -> None:
         """Drop the open transaction and all prepared epochs, with their files."""
         for folder in [*(self.open or []), *[f for folders in self.pending.values() for f in folders]]:
             self.table.fs.delete(self.table._path(f"{self.table.root}/data/{folder}"), True)
+        for e in self.pending:
+            self._done(e)
         self.open, self.pending = None, {}
 
     @property

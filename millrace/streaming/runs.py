@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def write_parts(df: DataFrame, order: list[str], positions: list[int], folder: str) -> int:
+#: The year 9999 in milliseconds: where a mark of the end of input stands.
+END_MS = 253_370_764_800_000
+
+
+def write_parts(df: DataFrame, order: list[str], positions: list[int], folder: str, end: str | None = None) -> int:
     """Files of the rows before, between and behind these positions in the order; returns how many.
 
-    Positions are sorted and distinct; one behind the last row is an error. Meant for replays in tests, where the input is small.
+    end: a column of milliseconds. One more file has a row with the largest time that timestamps have there, and nulls elsewhere: it marks the end of input, carries the
+    watermark past all windows of other rows. Its own window stays open, but for sessions that aren't merged. Positions are sorted and distinct; one behind the last row is an error. Meant for replays in tests, where the input is small.
     """
     n = df.count()
     positions = sorted(set(positions))
@@ -24,6 +29,10 @@ def write_parts(df: DataFrame, order: list[str], positions: list[int], folder: s
         if b > a:
             rows.where(f"_row >= {a} and _row < {b}").orderBy("_row").drop("_row").coalesce(1).write.mode("append").parquet(f"{folder}/{made:06d}")
             made += 1
+    if end is not None:
+        mark = df.limit(0).unionByName(df.sparkSession.range(1).select(F.lit(END_MS).alias(end)), allowMissingColumns=True)
+        mark.select(*[F.col(f.name).cast(f.dataType) for f in df.schema]).coalesce(1).write.mode("append").parquet(f"{folder}/{made:06d}")
+        made += 1
     return made
 
 

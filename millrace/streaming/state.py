@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators.reduce import Accumulator
+from millrace.operators.windows import Session
+
 CONTINUE, FIRE, PURGE, FIRE_AND_PURGE = "continue", "fire", "purge", "fire_and_purge"
 
 
@@ -68,13 +74,16 @@ class Context:
 
 
 class Keyed(StatefulProcessor):
-    """Calls process(key, row, context) for each row and on_timer(key, time, context) for each expired timer.
+    """Calls process(key, row, context) for each row and on_timer(key, time, context) for each expired timer. Several keys are a tuple.
 
     values, lists: name to type; maps: name to (key type, value type). ttl_ms: how long state lasts without a change.
     """
 
     def __init__(self, process: Callable, on_timer: Callable | None = None, values: dict | None = None, lists: dict | None = None, maps: dict | None = None, ttl_ms: int | None = None):
-        self.process, self.timer, self.kinds, self.ttl = process, on_timer, (values or {}, lists or {}, maps or {}), ttl_ms
+        self.process, self.timer, self.kinds, self.ttl, self.several = process, on_timer, (values or {}, lists or {}, maps or {}), ttl_ms, False
+
+    def key_of(self, key: tuple):
+        return tuple(key) if self.several else key[0]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,22 +95,23 @@ class Keyed(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         for row in rows:
             context = Context(self, timerValues)
-            self.process(key[0], row, context)
+            self.process(self.key_of(key), row, context)
             yield from context.out
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         if self.timer:
             context = Context(self, timerValues)
-            self.timer(key[0], expiredTimerInfo.getExpiryTimeInMs(), context)
+            self.timer(self.key_of(key), expiredTimerInfo.getExpiryTimeInMs(), context)
             yield from context.out
 
     def close(self) -> None:
         pass
 
 
-def process(df: DataFrame, key: str, processor: Keyed, schema: str, time_mode: str = "None", output_mode: str = "Append") -> DataFrame:
+def process(df: DataFrame, key: str | Sequence[str], processor: Keyed, schema: str, time_mode: str = "None", output_mode: str = "Append") -> DataFrame:
     processor.names = T.StructType.fromDDL(schema).names
-    return df.groupBy(key).transformWithState(processor, outputStructType=schema, outputMode=output_mode, timeMode=time_mode)
+    processor.several = not isinstance(key, str)
+    return df.groupBy(*([key] if isinstance(key, str) else key)).transformWithState(processor, outputStructType=schema, outputMode=output_mode, timeMode=time_mode)
 
 
 def running_reduce(df: DataFrame, key: str, column: str, function: Callable, key_type: str, value_type: str) -> DataFrame:
@@ -116,35 +126,157 @@ def running_reduce(df: DataFrame, key: str, column: str, function: Callable, key
     return process(df, key, Keyed(step, values={"acc": value_type}), f"{key} {key_type}, value {value_type}")
 
 
-def windowed(df: DataFrame, key: str, time: str, column: str, size: int, delay: int, key_type: str, trigger: Callable[[list, int], str] | None = None, reduce: Callable[[list], int] = sum) -> DataFrame:
-    """Tumbling windows that fire row by row, as a trigger says, and when the key's watermark passes their end: key, window_end - 1, result.
+class Trigger:
+    """When a window of a key gives a result: continue, fire (its rows stay and count again later), purge, or fire and purge. Override what is needed."""
+
+    def on_element(self, count: int, time: int, start: int, end: int) -> str:
+        """After a row was added; count: rows since the last purge."""
+        return CONTINUE
+
+    def on_event_time(self, watermark: int, start: int, end: int) -> str:
+        """The key's watermark has passed the window's last millisecond; the window is closed afterwards in any case."""
+        return FIRE
+
+    def on_processing_time(self, now: int, start: int, end: int) -> str:
+        """Called every so many milliseconds, if windowed was asked to."""
+        return CONTINUE
+
+
+class EachElement(Trigger):
+    """A result after each row."""
+
+    def on_element(self, count: int, time: int, start: int, end: int) -> str:
+        return FIRE
+
+
+class Count(Trigger):
+    """A result after every n rows of a window, which starts afresh then."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def on_element(self, count: int, time: int, start: int, end: int) -> str:
+        return FIRE_AND_PURGE if count >= self.n else CONTINUE
+
+
+class Folded(Accumulator):
+    """An accumulator from a function of two values; the first value is the start."""
+
+    def __init__(self, function: Callable):
+        self.function = function
+
+    def create(self):
+        return None
+
+    def add(self, acc, value):
+        return (value,) if acc is None else (self.function(acc[0], value),)
 
-    The watermark of a key is ``delay`` behind its largest time so far; a row at or below it is late and dropped. trigger(rows so far, time of this row)
-    returns continue, fire (the rows stay and count again in later results), purge, or fire_and_purge.
+    def merge(self, a, b):
+        return b if a is None else a if b is None else (self.function(a[0], b[0]),)
+
+    def result(self, acc):
+        return None if acc is None else acc[0]
+
+
+def windowed(df: DataFrame, keys: Sequence[str], time: str, column: str, assigner, acc: Accumulator, result_type: str, delay: int = 0, trigger: Trigger | None = None, watermark: Callable[[int, int | None], int | None] | None = None, every_ms: int | None = None) -> DataFrame:
+    """Windows that go element by element: keys, window_start, window_end, time (the window's last millisecond) and result.
+
+    The watermark of a key is ``delay`` behind its largest time so far, or what watermark(time of a row, watermark so far) says; it never falls. A row at or below
+    it is late and dropped. assigner: one of operators.windows, or any object whose of(time) lists (start, end). State holds one accumulator for each open window, and
+    windows are looked through only when the first of them ends. every_ms: how often a trigger hears of processing time.
     """
+    keys = list(keys)
+    trigger = trigger or Trigger()
+    merging = isinstance(assigner, Session) and assigner.merge
 
-    def step(k, row, context: Context) -> None:
-        top = context.value("top")
-        if top is not None and row[time] <= top - delay:
+    def load(b: bytes) -> list:
+        return pickle.loads(bytes(b))  # end, count, accumulator
+
+    def emit(k, c: Context, start: int, end: int, state) -> None:
+        c.collect(*k, start, end, end - 1, acc.result(state))
+
+    def act(k, c: Context, said: str, start: int, end: int, count: int, state) -> tuple[int, Any]:
+        if said in (FIRE, FIRE_AND_PURGE) and count:
+            emit(k, c, start, end, state)
+        return (0, acc.create()) if said in (PURGE, FIRE_AND_PURGE) else (count, state)
+
+    def step(k, row, c: Context) -> None:
+        t, old = row[time], c.value("watermark")
+        if t is None or old is not None and t <= old:
             return
-        end = row[time] - row[time] % size + size
-        rows = [*(context.lookup("rows", end) or []), row[column]]
-        context.put("rows", end, rows)
-        if trigger:
-            said = trigger(rows, row[time])
-            if said in (FIRE, FIRE_AND_PURGE):
-                context.collect(k, end - 1, reduce(rows))
-            if said in (PURGE, FIRE_AND_PURGE):
-                context.remove("rows", end)
-        top = max(row[time], top if top is not None else row[time])
-        context.set_value("top", top)
-        for e, kept in sorted(context.entries("rows").items()):
-            if top - delay >= e - 1:
-                context.collect(k, e - 1, reduce(kept))
-                context.remove("rows", e)
-
-    keyed = Keyed(step, values={"top": "long"}, maps={"rows": ("long", "array<long>")})
-    return process(df, key, keyed, f"{key} {key_type}, time long, result long")
+        first = c.value("first")
+        for start, end in assigner.of(t):
+            count, state = 0, acc.create()
+            if merging:
+                for s, b in sorted(c.entries("open").items()):
+                    e, n, other = load(b)
+                    if s <= end and start <= e:
+                        start, end, count, state = min(start, s), max(end, e), count + n, acc.merge(state, other) if count else other
+                        c.remove("open", s)
+            elif (b := c.lookup("open", start)) is not None:
+                end, count, state = load(b)
+            count, state = count + 1, acc.add(state, row[column])
+            count, state = act(k, c, trigger.on_element(count, t, start, end), start, end, count, state)
+            c.put("open", start, pickle.dumps([end, count, state]))
+            first = end - 1 if first is None else min(first, end - 1)
+        told = watermark(t, old) if watermark else t - delay
+        top = old if told is None else told if old is None else max(old, told)
+        if top is not None and top != old:
+            c.set_value("watermark", top)
+        if first is not None and top is not None and top >= first:
+            first = None
+            for s, b in sorted(c.entries("open").items()):
+                e, n, state = load(b)
+                if top >= e - 1:
+                    act(k, c, trigger.on_event_time(top, s, e), s, e, n, state)
+                    c.remove("open", s)
+                else:
+                    first = e - 1 if first is None else min(first, e - 1)
+        if first is None:
+            c.clear("first")
+        elif first != c.value("first"):
+            c.set_value("first", first)
+        if every_ms and c.value("ticking") is None:
+            c.set_value("ticking", 1)
+            c.register_timer(c.now + every_ms)
+
+    def tick(k, at: int, c: Context) -> None:
+        """Windows that are purged go; while others are there, the next tick is set."""
+        left = False
+        for s, b in sorted(c.entries("open").items()):
+            e, n, state = load(b)
+            n, state = act(k, c, trigger.on_processing_time(at, s, e), s, e, n, state)
+            left = left or n > 0
+            c.put("open", s, pickle.dumps([e, n, state])) if n else c.remove("open", s)
+        if left:
+            c.register_timer(at + every_ms)
+        else:
+            c.clear("ticking")
+
+    values = {"watermark": "long", "first": "long"} | ({"ticking": "int"} if every_ms else {})
+    keyed = Keyed(step, tick if every_ms else None, values=values, maps={"open": ("long", "binary")})
+    return process(df, keys, keyed, f"{_fields(df, keys)}, window_start long, window_end long, time long, result {result_type}", "ProcessingTime" if every_ms else "None")
+
+
+def still_open(spark: SparkSession, checkpoint: str, keys: Sequence[str], acc: Accumulator, result_type: str) -> DataFrame:
+    """End of input: results, as :func:`windowed` gives them, of the windows that a stopped query has left open, from the state in its checkpoint."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    kept = state.select("key.*", F.col("user_map_key.k").alias("window_start"), F.col("user_map_value.v").alias("_state"))
+    kept = kept.toDF(*keys, "window_start", "_state")
+
+    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            loaded = [pickle.loads(bytes(b)) for b in f["_state"]]
+            out = f[[*keys, "window_start"]].copy()
+            out["window_end"], out["time"] = [x[0] for x in loaded], [x[0] - 1 for x in loaded]
+            out["result"] = [acc.result(x[2]) for x in loaded]
+            yield out[[x[1] > 0 for x in loaded]]
+
+    return kept.mapInPandas(close, f"{_fields(kept, keys)}, window_start long, window_end long, time long, result {result_type}")
+
+
+def _fields(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def with_state(df: DataFrame, key: str, function: Callable[[Row, bytes | None], tuple[list[tuple], bytes | None]], schema: str) -> DataFrame:

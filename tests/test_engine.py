@@ -18,6 +18,7 @@ from millrace.sources import kafka
 from millrace.sources import nexmark as generator
 from millrace.sources.snapshot_table import SnapshotTable, TwoPhaseSink, write_stream
 from millrace.streaming import runs, state
+from millrace.streaming.watermarks import Inputs, bounded, punctuated
 from millrace.streaming.scaling import Autoscaler, Policy, TaskMetrics, of_progress
 
 
@@ -283,17 +284,54 @@ def _stream(spark, tmp_path, data, positions):
 
 def test_stateful_windows(spark, tmp_path):
     data = [(1000, 1), (9000, 2), (8000, 3), (12000, 10), (5000, 1000), (23000, 7)]
-    plan = state.windowed(_stream(spark, tmp_path, data, [1, 2, 3, 4, 5]), "user", "ts", "value", 10_000, 2000, "string")
+    plan = state.windowed(_stream(spark, tmp_path, data, [1, 2, 3, 4, 5]), ["user"], "ts", "value", windows.Tumbling(10_000), SUM, "long", 2000)
     out, ids, progress = runs.run_to_end(plan, f"{tmp_path}/cp")
     assert rows(out, "time", "result") == [(9999, 6), (19999, 10)] and ids == [0, 1, 2, 3, 4, 5]
     assert of_progress(progress[-1]).rows == 1
+    assert rows(state.still_open(spark, f"{tmp_path}/cp", ["user"], SUM, "long"), "time", "result") == [(29999, 7)]
+
+
+SUM = state.Folded(lambda a, b: a + b)
+
+
+class Ends:
+    """A user's own assigner: the window from a time to the next full thousand."""
+
+    def of(self, time):
+        return [(time - time % 1000, time - time % 1000 + 1000)]
+
+
+class Eager(state.Trigger):
+    """Fires and starts afresh at multiples of five; at the end of a window only what is left."""
+
+    def on_element(self, count, time, start, end):
+        return state.FIRE_AND_PURGE if time % 5 == 0 else state.CONTINUE
+
+
+def test_user_assigner_trigger_and_watermark(spark, tmp_path):
+    data = [(1, 1), (5, 2), (7, 4), (1001, 8), (2000, 16), (900, 32), (3100, 64)]
+    plan = state.windowed(_stream(spark, tmp_path, data, [3]), ["user"], "ts", "value", Ends(), SUM, "long", trigger=Eager(), watermark=punctuated(lambda t: t % 1000 == 0))
+    out = runs.run_to_end(plan, f"{tmp_path}/cp")[0]
+    assert rows(out, "window_start", "result") == [(0, 3), (0, 4), (1000, 8), (2000, 16), (3000, 64)]  # 900 is behind the mark at 2000
+
+
+def test_watermarks():
+    w = Inputs(idle_ms=100)
+    for name in "ab":
+        w.register(name, 0)
+    assert w.advance("a", 50, 10) is None and w.advance("b", 30, 20) == 30 and w.advance("b", 20, 30) is None and w.advance("b", 70, 40) == 50
+    assert w.advance("b", 90, 150) == 90 and w.advance("a", 60, 160) is None and w.check(400) is None  # a was idle, and counts again
+    assert w.advance("a", 95, 410) == 95 and w.end("a", 420) is None and w.advance("b", 97, 430) == 97
+    assert bounded(5)(20, None) == 15 and punctuated(lambda t: t == 3)(4, 2) == 2
+    with pytest.raises(ValueError):
+        bounded(-1)
 
 
 def test_trigger_that_fires_each_time(spark, tmp_path):
-    plan = state.windowed(_stream(spark, tmp_path, [(1000, 10), (2000, 20), (3000, 5)], [2]), "user", "ts", "value", 10_000, 0, "string", trigger=lambda kept, t: state.FIRE)
+    plan = state.windowed(_stream(spark, tmp_path, [(1000, 10), (2000, 20), (3000, 5)], [2]), ["user"], "ts", "value", windows.Tumbling(10_000), SUM, "long", trigger=state.EachElement())
     assert sorted(r.result for r in runs.run_to_end(plan, f"{tmp_path}/cp")[0].collect()) == [10, 30, 35]  # without purge earlier rows count again
     (tmp_path / "b").mkdir()
-    plan = state.windowed(_stream(spark, tmp_path / "b", [(1000, 10), (2000, 20)], [1]), "user", "ts", "value", 10_000, 0, "string", trigger=lambda kept, t: state.FIRE_AND_PURGE)
+    plan = state.windowed(_stream(spark, tmp_path / "b", [(1000, 10), (2000, 20)], [1]), ["user"], "ts", "value", windows.Tumbling(10_000), SUM, "long", trigger=state.Count(1))
     assert sorted(r.result for r in runs.run_to_end(plan, f"{tmp_path}/cp2")[0].collect()) == [10, 20]
 
 
@@ -341,6 +379,38 @@ def test_function_of_record_and_state(spark, tmp_path):
         state.verify_deterministic(lambda r, s: ([random.random()], s), [({}, None)])
 
 
+def _count_twice(row, old):
+    n = int.from_bytes(old or b"\0", "big") + 2
+    return [(row["user"], n)], n.to_bytes(8, "big")
+
+
+def test_code_is_swapped_by_a_restart(spark, tmp_path):
+    """Stop, then go on from the checkpoint with another function: state stays."""
+    df = spark.createDataFrame([("u", t, t, t) for t in range(5)], EVENT + ", arrival long")
+    got = []
+    for k, function in enumerate((_count, _count_twice)):
+        part = df.where(f"arrival % 2 = {k}")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+        plan = state.with_state(runs.read_parts(spark, EVENT + ", arrival long", f"{tmp_path}/in"), "user", function, "user string, n long")
+        got.append(rows(runs.run_to_end(plan, f"{tmp_path}/cp")[0], "n"))
+    assert got == [[(1,), (2,), (3,)], [(1,), (2,), (3,), (5,), (7,)]]
+
+
+def test_calls_have_a_deadline(spark):
+    def slow(row):
+        import time
+
+        time.sleep(20 if row["id"] == 3 else 0)
+        return [{"id": row["id"]}]
+
+    import time
+
+    start = time.monotonic()
+    with pytest.raises(Exception, match="TimeoutError"):
+        external.enrich(spark.range(8).coalesce(1), slow, "id long", timeout_s=0.5).collect()
+    assert time.monotonic() - start < 15
+
+
 def test_stream_equals_batch(spark, tmp_path):
     data = [(i * 700 % 20_000, i) for i in range(60)]
     s = Stream(_stream(spark, tmp_path, data, [20, 40])).assign_timestamps_and_watermarks("ts", 1000).key_by("user").window(windows.Tumbling(5000)).aggregate(F.sum("value").alias("s"))
