@@ -641,3 +641,14 @@ def test_empty_tables(spark):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_duplicates(none).count() == 0
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), tokenizer_path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_stages_pass_columns_whose_names_clash(spark):
+    """Extra columns named like helpers come out as they went in."""
+    names = ["id", "part", "epochs", "row", "key", "size", "source2", "_kept_id", "n"]
+    texts = ["one two three four five six seven", "one two three four five six seven", "other words here", None]
+    docs = spark.createDataFrame([(i, t, "s", *(f"{c}{i}" for c in names)) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for stage in (lambda d: quality.keep_good(d, labels), exact_dedup.drop_duplicates, jaccard_join.one_of_each, mixing.mixed_documents):
+        got = stage(docs)
+        assert got.columns == docs.columns and all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names)
