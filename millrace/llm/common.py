@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
@@ -63,6 +64,25 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(low, BATCH_ROWS)
 
 
+def tidied(task: Callable) -> Callable:
+    """The same task, whose worker gives back at its end what it remembers and has freed: workers stay, and the next stages need the memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` made and nothing needs any more."""
     spark = df.sparkSession
@@ -145,7 +165,7 @@ def sent_filter(keys: DataFrame, column: str, number: Callable = key_numbers):
 
     data = np.zeros(bits // 8, np.uint8)
     if n:  # filters of a million keys each, 64 at most, which pass through the driver one by one
-        for r in keys.select(column).repartition(max(1, n >> 20)).mapInArrow(fill, "bits binary").toLocalIterator():
+        for r in keys.select(column).repartition(max(1, n >> 20)).mapInArrow(tidied(fill), "bits binary").toLocalIterator():
             data |= np.frombuffer(r["bits"], np.uint8)
     return spark.sparkContext.broadcast(data.tobytes()), bits
 
@@ -168,7 +188,7 @@ def kept_rows(docs: DataFrame, id_col: str, text_col: str, verdicts: DataFrame)
                 may = test.has(key_numbers(keys)) if keys else np.empty(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(1)], ["key", "row"]).filter(pa.array(may == through))
 
-        return keyed.mapInArrow(task, schema)
+        return keyed.mapInArrow(tidied(task), schema)
 
     told = verdicts.groupBy("key").agg(F.bool_or("kept").alias("kept"))
     some = part(True).join(told, "key", "left").where("kept is null or kept")

@@ -164,11 +164,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int, mem
     """id, key, sha, keep_id, keep_key and group_size of every row."""
     spark = docs.sparkSession
     rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    slim = common.cut(rows.mapInArrow(_profiles, "id long, key binary, sha binary, chars long"))
+    slim = common.cut(rows.mapInArrow(common.tidied(_profiles), "id long, key binary, sha binary, chars long"))
     slim = slim.withColumn("digest", F.substring("sha", 1, digest_bytes))
     total = slim.count()
     ranges = max(common.partitions(spark), total // HELD) if digest_bytes >= 4 else 1
-    entries = slim.select("id", "digest", "chars", "key").mapInPandas(_runs(ranges, memtable), _ENTRY)
+    entries = slim.select("id", "digest", "chars", "key").mapInPandas(common.tidied(_runs(ranges, memtable)), _ENTRY)
     index = common.cut(entries.groupBy("range").applyInPandas(_merge, "digest binary, chars long, id long, key binary, n long"))
     index = index.select("digest", F.col("id").alias("keep_id"), F.col("key").alias("keep_key"), F.col("n").alias("group_size"))
     out = common.join_by_size(slim, index, "digest", "group_size", total)
@@ -176,7 +176,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int, mem
     # Byte verification: digests whose smallest and largest bytes differ.
     many = index.where("group_size > 1")
     sent, bits = common.sent_filter(many, "digest")
-    hits = rows.select("text").mapInArrow(_hits(sent, bits, digest_bytes), "digest binary, bare binary")
+    hits = rows.select("text").mapInArrow(common.tidied(_hits(sent, bits, digest_bytes)), "digest binary, bare binary")
     wrong = common.cut(hits.groupBy("digest").agg(F.min("bare").alias("low"), F.max("bare").alias("high")).where("low <> high").select("digest"))
     if not wrong.isEmpty():
         again = slim.join(wrong, "digest", "left_semi").groupBy("sha").agg(F.min(F.struct(-F.col("chars"), "id", "key")).alias("best"), F.count("*").alias("own_n"))

@@ -521,7 +521,7 @@ def _placed(rows: DataFrame, profile: DataFrame, classes: DataFrame, words: int,
     total = profile.where("slice = -1").agg(F.sum(n - F.ceil(n * num / den) + 1)).first()[0] or 0
     ranges = int(total // RANGE_ROWS + 1)
     sent = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(Pivots(chosen))
-    first = common.cut(rows.mapInPandas(_windows(words, num, den, ranges, *sent), _PLACED))
+    first = common.cut(rows.mapInPandas(common.tidied(_windows(words, num, den, ranges, *sent)), _PLACED))
 
     pairs = first.where("range >= 0").select("range", "members").groupBy("range").applyInPandas(_pairs(num, den, ranges), _PAIR)
     # Of two documents, the one whose window ends first can share, beyond what met, only what lies after its window.
@@ -530,7 +530,7 @@ def _placed(rows: DataFrame, profile: DataFrame, classes: DataFrame, words: int,
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.greatest("met", F.lit(0))).alias("met"), F.min("met").alias("tie"))
     groups = common.cut(connected_components(pairs.where((F.col("tie") < 0) | (F.col("met") + tail >= enough)).select("a", "b")))
     filled, bits = common.sent_filter(groups, "node", _numbers)
-    far = rows.mapInPandas(_members(words, filled, bits), "key long, members binary").join(groups, F.col("key") == F.col("node"))
+    far = rows.mapInPandas(common.tidied(_members(words, filled, bits)), "key long, members binary").join(groups, F.col("key") == F.col("node"))
     far = far.select(F.concat(F.lit("g"), "root").alias("region"), "key", F.lit(0).cast("long").alias("guest"), "members")
     placed = first.where("range < 0").select("region", "key", "guest", "members").union(far).join(classes.select("key", "n", "times"), "key")
     return common.cut(placed.dropDuplicates(["key", "region"]).select("region", "key", "n", "times", "guest", "members"))
@@ -539,7 +539,7 @@ def _placed(rows: DataFrame, profile: DataFrame, classes: DataFrame, words: int,
 def _linked_rows(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, row_keys: bool) -> DataFrame:
     """id, row key, n, root (one for each component), component (its smallest id) and links of every row; the last three mean nothing where n is 0."""
     rows = docs.select(common.sealed(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    profile = common.cut(rows.mapInPandas(_profiles(words, row_keys), "id long, row binary, n long, key long, slice int, counts binary"))
+    profile = common.cut(rows.mapInPandas(common.tidied(_profiles(words, row_keys)), "id long, row binary, n long, key long, slice int, counts binary"))
     each = profile.where("slice = -1").select("id", "row", "n", "key")
     total = each.count()
     classes = common.cut(each.groupBy("key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("times")))

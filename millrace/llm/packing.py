@@ -36,7 +36,7 @@ BLOCK = 4096
 #: Tokens at which attention costs as much as the linear part.
 SCALE = 1024
 #: Distinct words that a Python worker remembers before it starts afresh (about 200 bytes each).
-KNOWN = 1_000_000
+KNOWN = 500_000
 #: Marks that form one pre-token behind letters.
 _TAIL = b".,;:!?%$#&*"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -193,6 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
                     yield packer.take()
         packer.block(waiting, carried, True)
         yield packer.take()
+        words.whole = {}
 
-    rows = common.cut(common.texts(docs, id_col, text_col).mapInPandas(task, OUT))
+    rows = common.cut(common.texts(docs, id_col, text_col).mapInPandas(common.tidied(task), OUT))
     return rows.withColumn("doc_id", common.opened("doc_id"))

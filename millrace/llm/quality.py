@@ -154,7 +154,7 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         ids = pa.array(sent.value)
         return _statistics(b.filter(pc.is_in(b.column(0), ids)) for b in batches)
 
-    x = common.texts(docs, id_col, text_col).mapInArrow(chosen, "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
+    x = common.texts(docs, id_col, text_col).mapInArrow(common.tidied(chosen), "id long, x binary").groupBy("id").agg(F.min("x").alias("x"))
     with common.small_batches(spark):
         x = {r["id"]: r["x"] for r in x.collect()}  # a row for each id of the sample at most
     ids = [r["id"] for r in sample if r["id"] in x]
@@ -170,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             s = sent.value.score(_features(b.column(1).to_pylist()).astype(float))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    out = common.cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, score double"))
+    out = common.cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.tidied(apply), "doc_id long, score double"))
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
@@ -184,4 +184,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             keep = sent.value.score(_features(b.column(0).field(place).to_pylist()).astype(float)) >= least
             yield b.filter(pa.array(keep))
 
-    return rows.mapInArrow(good, rows.schema).select("row.*")
+    return rows.mapInArrow(common.tidied(good), rows.schema).select("row.*")
