@@ -522,6 +522,10 @@ def _placed(rows: DataFrame, profile: DataFrame, classes: DataFrame, words: int,
     ranges = int(total // RANGE_ROWS + 1)
     sent = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(Pivots(chosen))
     first = common.cut(rows.mapInPandas(common.tidied(_windows(words, num, den, ranges, *sent)), _PLACED))
+    for x in sent:  # checkpointed, so nothing runs again that would need them
+        x.destroy()
+    del sketch, chosen
+    common.release()
 
     pairs = first.where("range >= 0").select("range", "members").groupBy("range").applyInPandas(_pairs(num, den, ranges), _PAIR)
     # Of two documents, the one whose window ends first can share, beyond what met, only what lies after its window.
