@@ -508,7 +508,8 @@ def _placed(rows: DataFrame, profile: DataFrame, classes: DataFrame, words: int,
     """Rows (region, key, n, times, guest, members): documents of the pivots' regions with their guests, and of the far region's groups."""
     spark = rows.sparkSession
     sketch = np.zeros(SKETCH, np.uint32)
-    for x in profile.where("slice >= 0").groupBy("slice").applyInPandas(_add, "slice int, counts binary").toLocalIterator():
+    # 8 MB in one job; an iterator would run a job for each partition, of which only as many as there are slices have rows.
+    for x in profile.where("slice >= 0").groupBy("slice").applyInPandas(_add, "slice int, counts binary").coalesce(SKETCH // SLICE).collect():
         sketch[x["slice"] * SLICE : (x["slice"] + 1) * SLICE] = np.frombuffer(x["counts"], np.uint32)
     chosen, members, r = [], 0, 1 - num / den
     offered = profile.where("slice = -2").select("key", "counts").dropDuplicates(["key"]).orderBy(F.xxhash64("key")).limit(PIVOTS)

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, common, exact_dedup, jaccard_join, license_scan, mixing, nearest, packing, quality, sharding, url_filter
+from millrace.llm import chat, common, components, exact_dedup, jaccard_join, license_scan, mixing, nearest, packing, quality, sharding, url_filter
 from millrace.llm.components import connected_components, forest
 from millrace.llm.queries import tokenizer_path
 
@@ -215,6 +215,45 @@ def test_components(spark):
     assert nodes.tolist() == [1, 3, 9] and roots.tolist() == [1, 1, 1]
 
 
+def jobs_of(spark, f):
+    """What f returns, and how many jobs it ran."""
+    sc = spark.sparkContext
+    group = f"counted-{random.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        return f(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 50, 0])
+def test_components_end_in_one_task(spark, monkeypatch, few):
+    """A path needs most rounds: with few edges there are none, with more the rounds go on until few are left."""
+    monkeypatch.setattr(components, "FEW", few)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(50)] + [(7, 7)], "a long, b long").repartition(9)
+    got, jobs = jobs_of(spark, lambda: {r.node: r.root for r in connected_components(edges).collect()})
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(51)}
+    assert few < 1 << 20 or jobs <= 6
+    assert connected_components(edges.where("a < 0")).count() == 0
+
+
+def test_jaccard_jobs_do_not_grow_with_partitions(spark):
+    """Many partitions, as on a large cluster: the driver remembers every stage and task."""
+    texts = [" ".join(f"w{(i // 3 * 7 + j) % 211}" for j in range(40)) + f" end{i % 3}" for i in range(90)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    jobs = []
+    try:
+        for n in ("4", "48"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows, k = jobs_of(spark, lambda: jaccard_join.similar_documents(docs_of(spark, texts), 4, 85, 100).collect())
+            assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(brute_components(len(texts), links(texts, 4, 85, 100)[1])))
+            jobs.append(k)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert jobs[1] <= jobs[0] + 20 and jobs[0] < 120
+
+
 @pytest.mark.parametrize("digest_bytes", [16, 1])
 def test_exact_dedup(spark, digest_bytes):
     """With one byte of digest most hits are false, and byte verification must part them."""
