@@ -238,38 +238,29 @@ def test_components_end_in_one_task(spark, monkeypatch, few):
     assert connected_components(edges.where("a < 0")).count() == 0
 
 
-def test_one_of_each_jobs_do_not_grow_with_partitions(spark):
-    """The pipeline's stage; a path of near copies would need many rounds."""
-    words = [f"w{k}" for k in range(140)]
-    texts = [" ".join(words[i : i + 60]) for i in range(0, 80, 4)] + ["alone " * 30]
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    jobs = []
-    try:
-        for n in ("4", "48"):
-            spark.conf.set("spark.sql.shuffle.partitions", n)
-            rows, k = jobs_of(spark, lambda: jaccard_join.one_of_each(docs_of(spark, texts), 5, 80, 100).collect())
-            want = brute_components(len(texts), links(texts, 5, 80, 100)[1])
-            assert sorted(r.doc_id for r in rows) == sorted(set(want)) == [0, 20]
-            jobs.append(k)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert jobs[1] <= jobs[0] + 20
+PARTITIONS, COALESCE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
 
 
-def test_jaccard_jobs_do_not_grow_with_partitions(spark):
-    """Many partitions, as on a large cluster: the driver remembers every stage and task."""
-    texts = [" ".join(f"w{(i // 3 * 7 + j) % 211}" for j in range(40)) + f" end{i % 3}" for i in range(90)]
-    old = spark.conf.get("spark.sql.shuffle.partitions")
+@pytest.mark.parametrize("stage", [False, True])
+def test_jaccard_jobs_do_not_grow_with_partitions(spark, stage):
+    """Partitions that nobody merges, as in large runs: the driver remembers every stage and task. A path of near copies; stage: as in the pipeline."""
+    words = [f"w{k}" for k in range(140)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 80, 4)] + ["alone " * 30]
+    want = dict(enumerate(brute_components(len(texts), links(texts, 5, 80, 100)[1])))
+    old = {k: spark.conf.get(k) for k in (PARTITIONS, COALESCE)}
     jobs = []
     try:
-        for n in ("4", "48"):
-            spark.conf.set("spark.sql.shuffle.partitions", n)
-            rows, k = jobs_of(spark, lambda: jaccard_join.similar_documents(docs_of(spark, texts), 4, 85, 100).collect())
-            assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(brute_components(len(texts), links(texts, 4, 85, 100)[1])))
+        spark.conf.set(COALESCE, "false")
+        for n in ("2", "40"):
+            spark.conf.set(PARTITIONS, n)
+            f = jaccard_join.one_of_each if stage else jaccard_join.similar_documents
+            rows, k = jobs_of(spark, lambda: f(docs_of(spark, texts), 5, 80, 100).collect())  # noqa: B023
+            assert sorted(r.doc_id for r in rows) == sorted(set(want.values())) if stage else {r.doc_id: r.component_id for r in rows} == want
             jobs.append(k)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert jobs[1] <= jobs[0] + 20 and jobs[0] < 120
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert jobs[1] <= jobs[0] + 20, jobs
 
 
 @pytest.mark.parametrize("digest_bytes", [16, 1])
