@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators import reduce, windows
 from millrace.operators.relational import where
@@ -171,12 +172,89 @@ class Windowed:
     def reduce(self, column: str, function: str, name: str | None = None) -> Stream:
         return self.aggregate(reduce.NAMED[function](column).alias(name or column))
 
-    def apply(self, f: Callable[[tuple, int, int, pd.DataFrame], pd.DataFrame], schema: str) -> Stream:
-        """f(key, window_start, window_end, rows in no order) for each window; a window's rows are held together."""
+    def apply(self, f: Callable[[tuple, int, int, pd.DataFrame], pd.DataFrame | list[tuple]], schema: str) -> Stream:
+        """f(key, window_start, window_end, rows in no order) for each window: a frame or a list of tuples. A window's rows are held together."""
         keys = self.keyed.keys
         rows = windows.assigned(self._rows(), self.assigner, keys, self.keyed.stream.time)
 
-        def task(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            return f(group[: len(keys)], int(group[-2]), int(group[-1]), frame.drop(columns=["window_start", "window_end"]))
-
-        return Stream(rows.groupBy(*keys, "window_start", "window_end").applyInPandas(task, schema))
+        def task(group: tuple, frame: pd.DataFrame) -> pd.DataFrame | list[tuple]:
+            return f(group[: len(keys)], int(group[-2]), int(group[-1]), frame)
+
+        return Stream(by_group(rows, [*keys, "window_start", "window_end"], task, schema, ["window_start", "window_end"]))
+
+
+#: Frames or rows of results that become one Arrow batch.
+FRAMES = 1_000
+
+
+def by_group(df: DataFrame, by: Sequence[str], f: Callable[[tuple, pd.DataFrame], pd.DataFrame | list[tuple]], schema: str, left_out: Sequence[str] = ()) -> DataFrame:
+    """f(group, its rows without the columns left_out), as groupBy(by).applyInPandas: but an Arrow batch has many groups, where that has one at least for each group.
+
+    f gives a frame, or rows as a list of tuples, which costs much less for small groups. A frame's types are those of its group alone: integers and booleans with nulls in other groups of the batch stay what they are.
+    """
+    flags = {c.name: f"_null_{c.name}" for c in df.schema if isinstance(c.dataType, (T.IntegralType, T.BooleanType))}
+    names = T.StructType.fromDDL(schema).names
+    truth = {c.name for c in df.schema if isinstance(c.dataType, T.BooleanType)}
+    columns, kept = df.columns, [c for c in df.columns if c not in left_out]
+    fresh = F.row_number().over(Window.partitionBy(*by).orderBy(*by)) == 1  # groups follow each other in a partition, as windows demand
+    rows = df.withColumn("_fresh", fresh)
+    rows = rows.select("_fresh", *[F.coalesce(c, F.lit(False) if c in truth else F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in flags else F.col(c) for c in columns], *[F.col(c).isNull().alias(n) for c, n in flags.items()])
+
+    def typed(frame: pd.DataFrame) -> pd.DataFrame:
+        for c, n in flags.items():
+            if (null := frame[n]).any():
+                frame[c] = frame[c].astype(object if c in truth else "float64").mask(null, None if c in truth else float("nan"))
+        return frame
+
+    def called(frame: pd.DataFrame) -> pd.DataFrame | list[tuple]:
+        frame = typed(frame.reset_index(drop=True))
+        return f(tuple(frame[c].iloc[0] for c in by), frame[kept])
+
+    def results(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | list[tuple]]:
+        held: list[pd.DataFrame] = []  # of a group that may go on in the next batch
+        for frame in frames:
+            starts = [*frame["_fresh"].to_numpy().nonzero()[0].tolist(), len(frame)]
+            if starts[0] > 0:
+                held.append(frame.iloc[: starts[0]])
+            if len(starts) == 1:
+                continue
+            if held:
+                yield called(pd.concat(held))
+            held = [frame.iloc[starts[-2] :]]
+            spans = zip(starts[:-2], starts[1:-1])
+            if flags and frame[list(flags.values())].to_numpy().any():
+                for a, b in spans:
+                    yield called(frame.iloc[a:b])
+            else:  # all groups have the batch's types; what is the same for all is done once
+                own, keys = frame[kept], [frame[c].array for c in by]
+                for a, b in spans:
+                    part = own.iloc[a:b].copy()
+                    part.index = pd.RangeIndex(b - a)
+                    yield f(tuple(k[a] for k in keys), part)
+        if held:
+            yield called(pd.concat(held))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: list[pd.DataFrame] = []
+        rows: list[tuple] = []
+
+        def done() -> Iterator[pd.DataFrame]:
+            if made:
+                yield pd.concat(made, ignore_index=True) if len(made) > 1 else made[0]
+                made.clear()
+            if rows:
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+                rows.clear()
+
+        for out in results(frames):
+            if isinstance(out, list):
+                rows += out
+            elif len(out):
+                if made and (list(made[0].columns) != list(out.columns) or list(made[0].dtypes) != list(out.dtypes)):
+                    yield from done()  # one frame would change the types
+                made.append(out)
+            if len(rows) + len(made) >= FRAMES:
+                yield from done()
+        yield from done()
+
+    return rows.mapInPandas(task, schema)
